@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import mixing, stratify
+from . import handwritten, mixing, stratify
 
 CATEGORIES = ["year_month", "msg_len_category"]
 
 
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify_files(table(spark, d, "mined_data"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_files(spark, d).where(F.col("reason").isNotNull()).select("repo", "commit_hash", "file")
+
+
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stratify.sample_to_targets(stratify.eligible_commits(table(spark, d, "mined_data")), "commit_hash", CATEGORIES, table(spark, d, "sample_targets"))
 
@@ -44,6 +52,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_files": p1_files,
     "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report,
 }

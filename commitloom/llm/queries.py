@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, mixing, stratify
+from . import handwritten, mixing, secrets, stratify
 
 CATEGORIES = ["year_month", "msg_len_category"]
 
@@ -19,6 +19,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_files(spark, d).where(F.col("reason").isNotNull()).select("repo", "commit_hash", "file")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, d, "mined_data")).select("repo", "commit_hash", "file", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_secrets(table(spark, d, "mined_data"))
+
+
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stratify.sample_to_targets(stratify.eligible_commits(table(spark, d, "mined_data")), "commit_hash", CATEGORIES, table(spark, d, "sample_targets"))
 
@@ -52,6 +60,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p1_found": p1_found, "p1_files": p1_files,
     "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, mixing, secrets, stratify
+from . import handwritten, mixing, secrets, stratify, truncation
 
 CATEGORIES = ["year_month", "msg_len_category"]
 
@@ -59,7 +59,16 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, d, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_by_source(truncation.find_truncated(table(spark, d, "documents")))
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_by_source": p9_by_source,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p1_found": p1_found, "p1_files": p1_files,
     "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, mixing, secrets, stratify, truncation
+from . import clusters, handwritten, mixing, secrets, stratify, truncation
 
 CATEGORIES = ["year_month", "msg_len_category"]
 
@@ -27,6 +27,15 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_secrets(table(spark, d, "mined_data"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similar_pairs(clusters.cluster_messages(table(spark, d, "mined_data")))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    mined = table(spark, d, "mined_data")
+    return clusters.describe_clusters(clusters.cluster_messages(mined), mined)
+
+
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stratify.sample_to_targets(stratify.eligible_commits(table(spark, d, "mined_data")), "commit_hash", CATEGORIES, table(spark, d, "sample_targets"))
 
@@ -68,6 +77,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found, "p4_clusters": p4_clusters,
     "p9_found": p9_found, "p9_by_source": p9_by_source,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p1_found": p1_found, "p1_files": p1_files,

@@ -33,6 +33,8 @@ _MARK = re.compile(r"(?i)[ \t]*(?:\((?:cont|contd|continued|cut|truncated|snip|m
 _TRAILER = re.compile(r"^[A-Z][A-Za-z]+(?:-[A-Za-z]+)+: ?")
 _GREETING = re.compile(r"(?i)^(?:cheers|(?:best |kind |warm )?regards|best|thanks|thank you|greetings|sincerely|yours|saludos|gracias|abraços|obrigad[oa]|viele grüße|grüße|danke|merci|cordialement)\b[,!]?")
 _TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]*_`]{0,3}$")
+_CLOSE = re.compile(r"[.!?;:。！？\r\n]+")
+_QUOTES = "\"'”’»)]*_` "
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]]?(?=\s|$)")
 
 
@@ -48,14 +50,16 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
     t = text.rstrip()
     if not t:
         return "empty", None, None
-    if "�" in t[-2:] or _MARK.search(t):
+    if "�" in t[-2:] or _MARK.search(t, max(0, len(t) - 40)):
         return "marked", None, None
-    fence = len(re.findall(r"(?m)^[ \t]*```", t)) % 2 == 1
-    dots = re.search(r"[ \t]*(?:\.\.\.|…)$", t)
-    body = t[: dots.start()] if dots else t
-    m = re.search(r"([^\W\d_]+)$", body)
-    token = m[1] if m else None
-    line = re.split(r"[\r\n]", body)[-1].strip()
+    fence = "```" in t and len(re.findall(r"(?m)^[ \t]*```", t)) % 2 == 1
+    dots = 3 if t.endswith("...") else 1 if t.endswith("…") else 0
+    body = t[: len(t) - dots].rstrip(" \t") if dots else t
+    at = len(body)
+    while at and body[at - 1].isalpha():
+        at -= 1
+    token = body[at:] or None
+    line = body[max(body.rfind("\n"), body.rfind("\r")) + 1 :].strip()
     ends = [m.end() for m in _SENTENCE_END.finditer(line)]
     last = line[ends[-1] :] if ends and ends[-1] < len(line) else line
     last = re.sub(r"^\W+", "", last)
@@ -63,7 +67,7 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
         return ("open" if fence else "ellipsis"), token, last
     if fence and not line.startswith("```"):
         return "open", token, last
-    if _TERMINAL.search(body) or body.endswith(("```", "}", ")", "]", ">", "|", ";", '"', "*", "`")):
+    if _TERMINAL.search(body, max(0, len(body) - 8)) or body.endswith(("```", "}", ")", "]", ">", "|", ";", '"', "*", "`")):
         return "whole", None, last
     trailer = _TRAILER.match(line)
     if trailer:
@@ -92,10 +96,15 @@ def _words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closing: Counter[str] = Counter()
         for t in pdf["text"]:
             if isinstance(t, str):
-                m = re.search(r"[^\W\d_]+\W*$", t)
-                body = t[: m.start()] if m else t
-                known.update(set(WORD.findall(body)))
-                closing.update(set(re.findall(r"([^\W\d_]+)[\"'”’»)\]*_`]{0,3}(?=[.!?;:。！？\r\n])", t)))
+                known.update(set(WORD.findall(t)[:-1]))
+                ends = set()
+                for part in _CLOSE.split(t)[:-1]:
+                    part = part.rstrip(_QUOTES)
+                    at = len(part)
+                    while at and part[at - 1].isalpha():
+                        at -= 1
+                    ends.add(part[at:])
+                closing.update(ends)
         words = list(known)
         yield pd.DataFrame({"word": words, "texts": [known[w] for w in words], "closing": [closing[w] for w in words]})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, handwritten, mixing, secrets, stratify, truncation
+from . import clusters, consensus, handwritten, mixing, secrets, stratify, truncation
 
 CATEGORIES = ["year_month", "msg_len_category"]
 
@@ -36,6 +36,23 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe_clusters(clusters.cluster_messages(mined), mined)
 
 
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    refs = consensus.commit_refs({a: table(spark, d, f"sample_{a}") for a in ("heleno", "isadora", "vania", "joao")})
+    return consensus.resolve_commits(refs, table(spark, d, "mined_data"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_labels(spark, d))[0].where("n_labels >= 2 and consensus = 'yes'").select(F.col("item").alias("commit_hash"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_labels(spark, d))[0]
+
+
+def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(_labels(spark, d))[1]
+
+
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stratify.sample_to_targets(stratify.eligible_commits(table(spark, d, "mined_data")), "commit_hash", CATEGORIES, table(spark, d, "sample_targets"))
 
@@ -77,6 +94,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p6_found": p6_found, "p6_items": p6_items, "p6_annotators": p6_annotators,
     "p4_found": p4_found, "p4_clusters": p4_clusters,
     "p9_found": p9_found, "p9_by_source": p9_by_source,
     "p3_found": p3_found, "p3_redacted": p3_redacted,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, consensus, handwritten, mixing, secrets, stratify, truncation
+from . import clusters, consensus, handwritten, mixing, packing, secrets, stratify, truncation
 
 CATEGORIES = ["year_month", "msg_len_category"]
 
@@ -69,6 +69,18 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _sampled(spark, d)[1].select("target_id", *CATEGORIES, "wanted", "available", "drawn", "deficit")
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pack(spark, d).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p7_pack(spark, d))
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -94,6 +106,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p7_found": p7_found, "p7_pack": p7_pack, "p7_report": p7_report,
     "p6_found": p6_found, "p6_items": p6_items, "p6_annotators": p6_annotators,
     "p4_found": p4_found, "p4_clusters": p4_clusters,
     "p9_found": p9_found, "p9_by_source": p9_by_source,
@@ -123,6 +136,7 @@ SQL = {
     "p5_found": f"WITH {_ELIGIBLE} SELECT target_id FROM wanted WHERE available < wanted",
     "p5_report": f"""WITH {_ELIGIBLE} SELECT target_id, year_month, msg_len_category, wanted, available, least(wanted, available) AS drawn,
         wanted - least(wanted, available) AS deficit FROM wanted""",
+    "p7_found": f"SELECT DISTINCT doc_id FROM documents WHERE {_TOKENS} > 1024",
     "p8_found": f"""WITH t AS (SELECT source, {_TOKENS} AS n FROM documents)
         SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(n) AS n FROM t GROUP BY 1) s USING (source)
         WHERE coalesce(s.n, 0) * m.max_repeats < m.target_weight * (SELECT sum(n) FROM t) * 0.5""",

@@ -201,6 +201,10 @@ LANGUAGE_WORDS = {
 
 def language(text: Column) -> Column:
     """The language whose frequent words occur most often, earlier in the list on a tie; ``en`` if none does, null for null."""
-    own = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w+)\b"), F.lit(1))
-    scores = [F.struct(F.size(F.filter(own, lambda t, ws=ws: t.isin(*ws))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, ws) in enumerate(LANGUAGE_WORDS.items())]
+    own = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+    def hits(known: tuple[str, ...]) -> Column:
+        return F.size(F.filter(own, lambda t: t.isin(*known)))
+
+    scores = [F.struct(hits(ws).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, ws) in enumerate(LANGUAGE_WORDS.items())]
     return F.when(text.isNotNull(), F.greatest(*scores)["lang"])

@@ -42,18 +42,19 @@ def token_coverage(counts: DataFrame, n: int = 50) -> DataFrame:
     return top.select("top_freq", total.alias("total_freq"), F.when(total > 0, F.col("top_freq") / total).otherwise(0.0).alias("coverage"))
 
 
-def bigrams(text: Column, stop_words: tuple[str, ...] = (), unicode: bool = True) -> Column:
+def bigrams(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Pairs of neighbouring words of two characters or more, after stop words are removed."""
-    rx = r"(?U)\b(\w\w+)\b" if unicode else r"\b(\w\w+)\b"
-    own = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rx), F.lit(1))
+    own = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     own = F.filter(own, lambda t: ~t.isin(*stop_words)) if stop_words else own
-    return F.when(F.size(own) > 1, F.transform(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.concat_ws(" ", F.element_at(own, i), F.element_at(own, i + 1)))).otherwise(F.array().cast("array<string>"))
+    # The one-element array binds the words, so they are extracted once.
+    pairs = F.transform(F.array(own), lambda o: F.zip_with(o, F.slice(o, F.lit(2), F.greatest(F.size(o) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
+    return F.filter(pairs[0], lambda p: p.isNotNull())
 
 
-def top_bigrams(df: DataFrame, text: Column, n: int = 20, stop_words: tuple[str, ...] = STOP_WORDS, unicode: bool = True) -> DataFrame:
+def top_bigrams(df: DataFrame, text: Column, n: int = 20, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """``bigram, n`` of the most frequent pairs, alphabetical on a tie; without stop words removed if nothing is left."""
     def counted(stops: tuple[str, ...]) -> DataFrame:
-        return df.select(F.explode(bigrams(text, stops, unicode)).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
+        return df.select(F.explode(bigrams(text, stops)).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
 
     counts = counted(stop_words)
     if stop_words and counts.isEmpty():
@@ -96,7 +97,7 @@ def term_contexts(df: DataFrame, group: str, key: str, search: Column, display:
     rows = df.select(group, F.col(key).alias("__k"), search.alias("__s"), display.alias("__d"))
     per = top.groupBy(group).agg(F.collect_set("term").alias("__terms"))
     hits = rows.join(per, group).select(
-        group, "__k", "__d", F.explode(F.filter("__terms", lambda t: F.coalesce(F.col("__s"), F.lit("")).rlike(F.concat(F.lit(r"(?i)\b"), F.regexp_replace(t, r"([-.+])", r"\\$1"))))).alias("term")
+        group, "__k", "__d", F.explode(F.filter("__terms", lambda t: F.regexp_like(F.coalesce(F.col("__s"), F.lit("")), F.concat(F.lit(r"(?i)\b"), F.regexp_replace(t, r"([-.+])", r"\\$1"))))).alias("term")
     )
     rn = F.row_number().over(Window.partitionBy(group, "term").orderBy("__k"))
     counted = hits.groupBy(group, "term").agg(F.count(F.lit(1)).alias("hits"))

@@ -205,7 +205,8 @@ def _rows(key: list[str], column: str, fragment: bool):
                     path.append(p)
                     value.append(json.dumps(v, ensure_ascii=False))
                     refs.append(references(v))
-            yield pdf.iloc[at][key].assign(path=path, value=value, refs=refs)
+            out = pdf.iloc[at][key].reset_index(drop=True)
+            yield out.assign(**{k: pd.Series(v, index=out.index, dtype=object) for k, v in (("path", path), ("value", value), ("refs", refs))})
 
     return run
 

@@ -122,21 +122,22 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = ("yes", "no")) -> tu
     annotators who agree, null for one). Annotators: ``annotator, reliability,
     n_labels``, averaged over the classes. Two classes mirror each other, so the first
     decides; of more, the one with the highest belief wins, the earlier one on a tie.
-    Null items, annotators and labels and labels of other classes are left out;
+    An item of one label keeps it, with the confidence that its annotator deserves. Null items, annotators and labels and labels of other classes are left out;
     repeated rows count once; if an annotator's labels of an item differ, the smallest
     counts; an empty table gives empty results.
     """
     clean = labels.where(F.col("item").isNotNull() & F.col("annotator").isNotNull() & F.col("label").isin(*classes))
     one = cut(clean.groupBy("item", "annotator").agg(F.min("label").alias("label")))
-    counts = one.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("item").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.sum("c").alias("n"))
-    agreement = counts.select("item", F.when(F.col("n") > 1, F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("agreement"))
+    counts = one.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("item").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.sum("c").alias("n"), F.min("label").alias("only"))
+    agreement = counts.select("item", F.when(F.col("n") == 1, F.col("only")).alias("only"), F.when(F.col("n") > 1, F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("agreement"))
     tried = [(c, *one_against_rest(one, c)) for c in (classes[:1] if len(classes) == 2 else classes)]
     if len(classes) == 2:
         c, items, annotators = tried[0]
-        yes = F.col("belief") > 0.5
+        items = items.join(agreement.select("item", "only"), "item")
+        yes = F.when(F.col("only").isNotNull(), F.col("only") == c).otherwise(F.col("belief") > 0.5)
         items = items.select("item", "n_labels", F.when(yes, c).otherwise(classes[1]).alias("consensus"), F.when(yes, F.col("belief")).otherwise(1 - F.col("belief")).alias("confidence"))
     else:
         rows = reduce(DataFrame.unionByName, [i.withColumn("c", F.lit(c)).withColumn("o", F.lit(-k)) for k, (c, i, _) in enumerate(tried)])
         items = rows.groupBy("item").agg(F.max("n_labels").alias("n_labels"), F.max_by("c", F.struct("belief", "o")).alias("consensus"), F.max("belief").alias("confidence"))
         annotators = reduce(DataFrame.unionByName, [a for _, _, a in tried]).groupBy("annotator").agg(F.avg("reliability").alias("reliability"), F.max("n_labels").alias("n_labels"))
-    return items.join(agreement, "item").select("item", "consensus", "confidence", "n_labels", "agreement"), annotators
+    return items.join(agreement, "item").select("item", F.coalesce("only", "consensus").alias("consensus"), "confidence", "n_labels", "agreement"), annotators

@@ -6,6 +6,8 @@ unused text of a shard is the seed of a container; the index returns its unused
 neighbours, which fill the container greedily while they fit, and the largest texts
 that still fit close the gap. Only a text larger than a container is split: into full
 containers and a rest that is packed like any other text.
+
+Ids travel through Python as strings, so ids of any type, nulls among them, stay exact.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ K1, B = 1.2, 0.75
 #: Neighbours looked at before all are sorted.
 FIRST = 48
 
-_ITEM = "doc_id bigint, n_tokens bigint, n_pieces int, start bigint, size int, starts array<int>, terms array<int>, tfs array<int>"
-_PLACED = "doc_id bigint, piece int, n_pieces int, token_start bigint, n_tokens int, container string, slot int"
+_ITEM = "doc_id string, n_tokens bigint, n_pieces int, start bigint, size int, starts array<int>, terms array<int>, tfs array<int>"
+_PLACED = "doc_id string, piece int, n_pieces int, token_start bigint, n_tokens int, container string, slot int"
 
 
 def _items(capacity: int):
@@ -131,7 +133,7 @@ def _pack(capacity: int, table: np.ndarray, docs: int, mean: float):
     idf = np.log1p((docs - table + 0.5) / (table + 0.5))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "size"], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "start", "size"], kind="stable", na_position="first")
         sizes = pdf["size"].to_numpy(dtype=np.int64)
         lens = pdf["terms"].str.len().to_numpy(dtype=np.int64)
         rows = np.repeat(np.arange(len(sizes)), lens)
@@ -162,7 +164,8 @@ def pack_documents(documents: DataFrame, capacity: int = 1024, shard_tokens: int
     are placed in no container (``container`` is null); repeated rows are placed as often as
     they occur; an empty table gives no rows.
     """
-    items = cut(documents.select("doc_id", "text").mapInPandas(_items(capacity), _ITEM))
+    kind = documents.schema["doc_id"].dataType
+    items = cut(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_items(capacity), _ITEM))
     stats = items.agg(F.count_if(F.col("size") > 0).alias("docs"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean"), F.sum("size").alias("tokens")).first()
     table = np.zeros(TERMS)
     for r in items.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most TERMS rows
@@ -173,10 +176,10 @@ def pack_documents(documents: DataFrame, capacity: int = 1024, shard_tokens: int
     pieces = items.where(F.col("n_pieces") > 1).select("doc_id", "n_pieces", F.posexplode(F.slice("starts", 1, F.col("n_pieces") - 1)).alias("piece", "at"))
     full = pieces.select(
         "doc_id", "piece", "n_pieces", (F.col("piece").cast("bigint") * capacity).alias("token_start"), F.lit(capacity).alias("n_tokens"),
-        F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.lit(0).alias("slot"),
+        F.concat(F.lit("d"), F.coalesce("doc_id", F.lit("")), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.lit(0).alias("slot"),
     )
     none = items.where(F.col("size") == 0).select("doc_id", F.lit(0).alias("piece"), "n_pieces", F.lit(0).cast("bigint").alias("token_start"), F.lit(0).alias("n_tokens"), F.lit(None).cast("string").alias("container"), F.lit(0).alias("slot"))
-    return packed.unionByName(full).unionByName(none)
+    return packed.unionByName(full).unionByName(none).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def packing_report(packed: DataFrame, capacity: int = 1024) -> DataFrame:

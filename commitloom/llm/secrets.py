@@ -13,7 +13,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -76,7 +76,7 @@ DETECTORS = (
     Detector("sas", r"[?&]sig=(?P<s>[\w%+/=-]{16,})"),
     Detector("account_key", r"AccountKey=(?P<s>[A-Za-z0-9+/]{30,}={0,2})"),
     Detector("comment", r"(?im)^[-+ ]?[ \t]*(?:#|//|/\*|\*|--|;|<!--)[^\n]{0,160}?\b(?:pass(?:word|wd)?|pwd|pw (?:is|was)|pw ?[:=]|senha|contrase[nñ]a|login|creds?|credentials?|credenciais|secret|token|api key|usu[aá]rio)\b[^\n]{0,80}?[ \t:=/](?P<s>[^\s:=/,;\"'()]{6,})[ \t]*(?:\*/|-->)?[ \t]*\r?$", lambda v: is_literal(v) and bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and not re.match(r"^(?:v?\d[\d.]*\w?|#?\d+|\d{4}-\d\d(?:-\d\d)?\S*)$", v) and bool(re.search(r"[A-Z]|[^\w.\-]", v) or len(v) >= 20)),
-    Detector("joined", rf"(?i){NAME}{_END}join\([ \t]*\"\"[ \t]*,[ \t]*\[(?P<s>[^\]\n]{{8,}})\]", lambda v: "var." not in v and "${" not in v),
+    Detector("joined", rf"(?i){NAME}{_END}join\([ \t]*\"\"[ \t]*,[ \t]*\[(?P<s>[^\]\n]{{8,}})\]", lambda v: "var." not in v and "${" not in v and not PLACEHOLDER.match(v.strip("\"' "))),
     Detector("assignment", rf"(?i){NAME}{_END}\"(?P<s>[^\"\n]{{4,}})\"", is_literal),
     Detector("assignment", rf"(?i){NAME}{_END}'(?P<s>[^'\n]{{4,}})'", is_literal),
     Detector("assignment", rf"(?im)^[-+ ]?[ \t]*(?:-[ \t]+)?[\w.-]*{NAME}:[ \t]+(?P<s>[^\s\"'#,{{}}\[\]()<>&*!|%@`][^\s\"',{{}}()]{{4,}})[ \t]*(?:#[^\n]*)?\r?$", lambda v: is_literal(v) and not re.match(r"^[\w-]+(?:\.[\w-]+)+$", v)),
@@ -106,11 +106,14 @@ def findings(text: str, which: list[tuple[int, int, int]] | None = None) -> list
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """``text`` with each span replaced by ``REDACTED``; spans over several lines keep their line ends, diff columns and indents."""
+    """``text`` with each span replaced by ``REDACTED``, quoted where the span is a list of strings.
+
+    Spans over several lines keep their line ends, diff columns and indents.
+    """
     out, at = [], 0
-    for a, b, _ in spans:
-        first, *rest = re.split(r"(\r?\n|\\n)", text[a:b])
-        out += [text[at:a], "REDACTED"]
+    for a, b, kind in spans:
+        _, *rest = re.split(r"(\r?\n|\\n)", text[a:b])
+        out += [text[at:a], '"REDACTED"' if kind == "joined" else "REDACTED"]
         for k, part in enumerate(rest):
             out.append(part if k % 2 == 0 else re.sub(r"^([-+ ]?\s*)\S.*$", r"\1REDACTED", part))
         at = b
@@ -170,10 +173,10 @@ def find_secrets(mined: DataFrame, text: str = "patch", keys: tuple[str, ...] =
     """
     own = list(keys)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _new_index()
-        for pdf in it:
-            texts = [t if isinstance(t, str) else None for t in pdf["__text"]]
+        for batch in it:
+            texts = batch.column("__text").to_pylist()
             at, lines, kinds = [], [], []
             for i, spans in enumerate(_detect(texts, index)):
                 if spans:
@@ -182,11 +185,12 @@ def find_secrets(mined: DataFrame, text: str = "patch", keys: tuple[str, ...] =
                         at.append(i)
                         lines.append(bisect_right(ends, a - 1) + 1)
                         kinds.append(kind)
-            yield pdf.iloc[at][own].assign(line_no=pd.array(lines, dtype="int32"), kind=kinds)
+            kept = batch.select(own).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lines, pa.int32()), pa.array(kinds, pa.string())], names=[*own, "line_no", "kind"])
 
-    fields = [*(f for f in mined.schema.fields if f.name in own), T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType())]
-    fields = sorted(fields, key=lambda f: (own + ["line_no", "kind"]).index(f.name))
-    return mined.select(*own, mined[text].alias("__text")).mapInPandas(run, T.StructType(fields)).distinct()
+    by_name = {f.name: f for f in mined.schema.fields}
+    fields = [*(by_name[k] for k in own), T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType())]
+    return mined.select(*own, mined[text].alias("__text")).mapInArrow(run, T.StructType(fields)).distinct()
 
 
 def redact_secrets(mined: DataFrame, text: str = "patch") -> DataFrame:
@@ -198,12 +202,14 @@ def redact_secrets(mined: DataFrame, text: str = "patch") -> DataFrame:
     """
     kept = [f for f in mined.schema.fields if f.name != "secrets_masked"]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _new_index()
-        for pdf in it:
-            texts = [t if isinstance(t, str) else None for t in pdf[text]]
+        for batch in it:
+            at = batch.schema.get_field_index(text)
+            texts = batch.column(at).to_pylist()
             found = _detect(texts, index)
-            masked = [mask(t, s) if s else t for t, s in zip(texts, found)]
-            yield pdf.assign(**{text: pd.Series(masked, index=pdf.index, dtype=object), "secrets_masked": pd.array([len(s) for s in found], dtype="int32")})
+            masked = pa.array([mask(t, s) if s else t for t, s in zip(texts, found)], pa.string())
+            columns = [masked if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in found], pa.int32())], names=[*batch.schema.names, "secrets_masked"])
 
-    return mined.select(*[f.name for f in kept]).mapInPandas(run, T.StructType([*kept, T.StructField("secrets_masked", T.IntegerType())]))
+    return mined.select(*[f.name for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField("secrets_masked", T.IntegerType())]))

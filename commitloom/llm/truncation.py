@@ -144,8 +144,9 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     whole; rows without a source have no length evidence; repeated rows are judged
     alike; an empty table gives no rows.
     """
-    own = documents.select("doc_id", "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("digest"))
-    rows = cut(own.mapInPandas(_endings, "doc_id bigint, source string, n_chars int, n_bytes int, digest bigint, form string, token string, last string"))
+    kind = documents.schema["doc_id"].dataType
+    own = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").cast("string").alias("digest"))
+    rows = cut(own.mapInPandas(_endings, "doc_id string, source string, n_chars int, n_bytes int, digest string, form string, token string, last string"))
     words = cut(vocabulary(documents))
     limits = length_limits(rows.where(F.col("source").isNotNull() & F.col("n_chars").isNotNull()))
     finals = rows.where(F.col("token").isNotNull()).select("token").distinct().join(words.withColumnRenamed("word", "token"), "token", "left")
@@ -164,7 +165,7 @@ def find_truncated(documents: DataFrame) -> DataFrame:
         F.when(F.col("form") == "marked", "mark").when(at_limit & ~closed, "length").when(stump & ~closed, "word")
         .when((F.col("form") == "open") | (dangling & F.col("form").isin("title", "ellipsis")), "open").when((F.col("form") == "ellipsis") & ~phrase, "ellipsis")
     )
-    return out.select("doc_id", "source", evidence.isNotNull().alias("truncated"), evidence.alias("evidence"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", evidence.isNotNull().alias("truncated"), evidence.alias("evidence"))
 
 
 def truncation_by_source(found: DataFrame) -> DataFrame:

@@ -206,21 +206,20 @@ def _copies_of_other_repositories(files: DataFrame) -> DataFrame:
     """Distinct (rid, path) of files whose path embeds another repository's name above a path that repository has with equal text.
 
     The embedded name is a directory ``name``, ``owner/name`` or ``owner-name-version``;
-    the part below it is looked up in that repository by (repository, path, digest).
+    the part below it is looked up there by digest and a hash of (name, path).
     """
     texts = files.where(F.col("rid").isNotNull() & F.col("path").isNotNull() & F.col("digest").isNotNull()).select("rid", "path", "digest").distinct()
     parts = F.split("path", "/")
     seen = texts.where(F.size(parts) > 2).select("rid", "path", "digest", F.posexplode(F.slice(parts, 1, F.size(parts) - 2)).alias("i", "seg"))
-    below = seen.select(
-        "rid", "path", "digest", F.lower(F.regexp_replace("seg", r"-v?\d+\.\d+(?:\.\d+)?$", "")).alias("name"),
-        F.array_join(F.slice(parts, F.col("i") + 2, F.size(parts)), "/").alias("rest"),
-    )
+    name = F.lower(F.regexp_replace("seg", r"-v?\d+\.\d+(?:\.\d+)?$", ""))
+    rest = F.array_join(F.slice(parts, F.col("i") + 2, F.size(parts)), "/")
+    claims = seen.select("rid", "path", "digest", F.xxhash64(name, rest).alias("place"))
     stem = F.regexp_replace("rid", r"_[0-9a-f]{8}$", "")
-    named = F.split(stem, "_", 2)
-    ids = texts.select("rid").distinct().select(F.col("rid").alias("orid"), F.explode(F.array(F.lower(F.get(named, F.lit(1))), F.lower(F.replace(stem, F.lit("_"), F.lit("-"))))).alias("name"))
-    claims = below.join(ids.where(F.col("name").isNotNull()), "name").where(F.col("orid") != F.col("rid"))
-    originals = texts.select(F.col("rid").alias("orid"), F.col("path").alias("rest"), "digest")
-    return claims.join(originals, ["orid", "rest", "digest"], "left_semi").select("rid", "path").distinct()
+    names = F.array_compact(F.array(F.lower(F.get(F.split(stem, "_", 2), F.lit(1))), F.lower(F.replace(stem, F.lit("_"), F.lit("-")))))
+    own = texts.select("rid", "path", "digest", F.explode(names).alias("name"))
+    # One row a place and text, however many repositories of that name (forks, say) have it.
+    originals = own.groupBy("digest", F.xxhash64("name", "path").alias("place")).agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
+    return claims.join(originals, ["digest", "place"]).where((F.col("low") != F.col("rid")) | (F.col("high") != F.col("rid"))).select("rid", "path").distinct()
 
 
 def _mined_patterns(decided: DataFrame) -> DataFrame:

@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Python stages find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_commitloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="commitloom-")) / "commitloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._commitloom_shipped = True
+
+
 def get_spark(app: str = "commitloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` overrides any setting.
 
@@ -27,4 +44,6 @@ def get_spark(app: str = "commitloom", master: str | None = None, **conf: str) -
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark

@@ -203,12 +203,12 @@ def _content_evidence(mined: DataFrame) -> DataFrame:
 
 
 def _copies_of_other_repositories(files: DataFrame) -> DataFrame:
-    """Distinct (rid, path) of files whose path embeds another repository's name above a path that repository has with equal text.
+    """Distinct (rid, path), rid empty for rows without a repository, of files whose path embeds another repository's name above a path that repository has with equal text.
 
     The embedded name is a directory ``name``, ``owner/name`` or ``owner-name-version``;
     the part below it is looked up there by digest and a hash of (name, path).
     """
-    texts = files.where(F.col("rid").isNotNull() & F.col("path").isNotNull() & F.col("digest").isNotNull()).select("rid", "path", "digest").distinct()
+    texts = files.where(F.col("path").isNotNull() & F.col("digest").isNotNull()).select(F.coalesce("rid", F.lit("")).alias("rid"), "path", "digest").distinct()
     parts = F.split("path", "/")
     seen = texts.where(F.size(parts) > 2).select("rid", "path", "digest", F.posexplode(F.slice(parts, 1, F.size(parts) - 2)).alias("i", "seg"))
     name = F.lower(F.regexp_replace("seg", r"-v?\d+\.\d+(?:\.\d+)?$", ""))
@@ -216,7 +216,7 @@ def _copies_of_other_repositories(files: DataFrame) -> DataFrame:
     claims = seen.select("rid", "path", "digest", F.xxhash64(name, rest).alias("place"))
     stem = F.regexp_replace("rid", r"_[0-9a-f]{8}$", "")
     names = F.array_compact(F.array(F.lower(F.get(F.split(stem, "_", 2), F.lit(1))), F.lower(F.replace(stem, F.lit("_"), F.lit("-")))))
-    own = texts.select("rid", "path", "digest", F.explode(names).alias("name"))
+    own = texts.where("rid <> ''").select("rid", "path", "digest", F.explode(names).alias("name"))
     # One row a place and text, however many repositories of that name (forks, say) have it.
     originals = own.groupBy("digest", F.xxhash64("name", "path").alias("place")).agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
     return claims.join(originals, ["digest", "place"]).where((F.col("low") != F.col("rid")) | (F.col("high") != F.col("rid"))).select("rid", "path").distinct()
@@ -254,7 +254,8 @@ def classify_files(mined: DataFrame) -> DataFrame:
     grouped = rows.where(F.col("rid").isNotNull() & F.col("path").isNotNull())
     flags = ["noted", "copied", "blob", "minified"]
     files = grouped.groupBy("rid", "path").agg(*[F.max(f).alias(f) for f in flags])
-    files = files.join(_copies_of_other_repositories(grouped).withColumn("embedded", F.lit(True)), ["rid", "path"], "left")
+    copies = cut(_copies_of_other_repositories(rows))
+    files = files.join(copies.withColumn("embedded", F.lit(True)), ["rid", "path"], "left")
     rule = F.pandas_udf(declared_by_rules, "boolean")
     rules = attribute_rules(mined)
     known = files.join(rules.withColumnRenamed("repo", "rid"), "rid", "left").withColumn("declared", F.when(F.col("rx").isNotNull(), rule("path", "rx", "on"))).drop("rx", "on")
@@ -272,7 +273,8 @@ def classify_files(mined: DataFrame) -> DataFrame:
         .when(F.col("copied") | F.col("embedded"), "copy").when(F.col("minified"), "minified").when(F.col("blob"), "blob").when(F.col("mined"), "mined").alias("file_reason"),
     )
     alone = (
-        F.when(conventional(F.lower("path")), "path").when(F.col("noted"), "notice").when(F.col("copied"), "copy").when(F.col("minified"), "minified").when(F.col("blob"), "blob")
+        F.when(conventional(F.lower("path")), "path").when(F.col("noted"), "notice").when(F.col("copied") | F.col("unowned"), "copy").when(F.col("minified"), "minified").when(F.col("blob"), "blob")
     )
+    rows = rows.join(copies.where("rid = ''").select("path", F.lit(True).alias("unowned")), "path", "left")
     out = rows.join(verdict, ["rid", "path"], "left").withColumn("reason", F.when(F.col("rid").isNotNull() & F.col("path").isNotNull(), F.col("file_reason")).otherwise(alone))
     return out.groupBy("repo", "commit_hash", "file").agg(F.min("reason").alias("reason"))

@@ -156,6 +156,10 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     open_word: Column = common & (F.col("closing") < OPEN_SHARE * F.col("texts"))
     judged = finals.join(stumps, "token", "left").select("token", (F.col("texts").isNull() & F.col("below").isNotNull()).alias("stump"), F.coalesce(open_word, F.lit(False)).alias("dangling"))
     phrases = rows.where("form = 'ellipsis'").groupBy("last").agg(F.approx_count_distinct("digest", 0.02).alias("said"))
+    # Only loose ends look up their token, and only ellipses their sentence; all other rows get keys that match nothing and spread evenly.
+    alone = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(4096)).cast("string"))
+    rows = rows.withColumn("token", F.when(F.col("form").isin("whole", "empty", "marked"), alone).otherwise(F.coalesce("token", alone)))
+    rows = rows.withColumn("last", F.when(F.col("form") == "ellipsis", F.coalesce("last", alone)).otherwise(alone))
     out = rows.join(judged, "token", "left").join(phrases, "last", "left").join(limits, "source", "left")
     closed = F.col("form").isin("whole", "empty")
     at_limit = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes").between(F.col("limit_bytes") - 3, F.col("limit_bytes")), F.lit(False))

@@ -512,8 +512,9 @@ def spanning_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    size, samples = density.cluster_parameters(500)
-    return density.cluster_by_density(table(spark, d, "embeddings"), "vec_id", "embedding", size, samples)
+    vectors = table(spark, d, "embeddings")
+    size, samples = density.cluster_parameters(vectors.count())
+    return density.cluster_by_density(vectors, "vec_id", "embedding", size, samples)
 
 
 @_query()

@@ -61,7 +61,10 @@ class _RepoSearchReader(DataSourceReader):
 
 
 class GitLog(DataSource):
-    """``repos``: paths of clones between commas; ``since``: a revision to start after; ``suffix``: of the files to read."""
+    """``repos``: paths of clones between commas; ``since``: a revision to start after; ``suffix``: of the files to read.
+
+    A clone that cannot be read is one row with its name and ``patch_kind`` ``failed``; the others still count.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -90,7 +93,11 @@ class _GitLogReader(DataSourceReader):
         path = partition.value
         if not path:
             return
-        head = _git(path, "rev-parse", "HEAD").strip()
+        try:
+            head = _git(path, "rev-parse", "HEAD").strip()
+        except (subprocess.CalledProcessError, OSError):
+            yield Path(path).name, None, None, None, None, None, None, None, "failed"
+            return
         span = f"{self.since}..HEAD" if self.since else "HEAD"
         try:
             log = _git(path, "log", "--no-color", "--format=%x01%H%x00%an%x00%cI%x00%B%x02", "-p", "--unified=3", "--first-parent", span)

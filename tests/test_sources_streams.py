@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitloom import schemas
+from commitloom.config import result_summary, settings
+from commitloom.operators import fold
 from commitloom.operators.records import append_new
+from commitloom.plans import pipelines
 from commitloom.sources import connectors, files, sinks
 from commitloom.streaming import ingest
 
@@ -62,6 +65,8 @@ def test_git_log_source(spark, tmp_path):
     assert {(r.message, r.file) for r in got.collect()} == {("first", "main.tf"), ("Fix a\n\nbody", "main.tf")}
     new = spark.read.format("git_log").option("repos", str(repo)).option("since", first).load()
     assert new.count() == 2 and "+a = 2" in new.where("file = 'main.tf'").first().patch
+    bad = spark.read.format("git_log").option("repos", f"{repo},{tmp_path / 'nowhere'}").load()
+    assert {r.patch_kind for r in bad.collect()} == {"diff", "failed"}
     assert append_new(got.drop("patch_kind"), new.drop("patch_kind")).count() == 3
 
 
@@ -74,6 +79,32 @@ def test_repo_search_source(spark, tmp_path):
     assert [(r.repo_full_name, r.commits, r.priority) for r in rows] == [("a/b", 0, 0), ("a/b", 0, 2), ("c/d", 0, 2)]
 
 
+def test_discovery(spark, tmp_path):
+    (tmp_path / "0.json").write_text(json.dumps([{"repo_full_name": "a/low", "stars": 1}, {"repo_full_name": "a/Demo-x", "stars": 99}, {"repo_full_name": "a/b", "stars": 50, "commits": 3}]))
+    (tmp_path / "1.json").write_text(json.dumps([{"repo_full_name": "a/low", "stars": 20}, {"repo_full_name": "c/d", "stars": 60}]))
+    connectors.register(spark)
+    s = settings(None, stars="15", limit=2, exclude_keywords=["demo"])
+    assert [r.repo_full_name for r in pipelines.discover(spark, str(tmp_path), s).collect()] == ["a/b", "a/low"]
+
+
+def test_settings(tmp_path):
+    (tmp_path / "c.yaml").write_text("stars: 500\nlimit: many\nsampling:\n  sample_size: 7\nkeywords: [a, b]\nother: 1\n")
+    s = settings(str(tmp_path / "c.yaml"), stars=3, min_commits=None)
+    assert (s.stars, s.limit, s.sample_size, s.keywords, s.min_commits, s.extra) == (3, 50, 7, ("a", "b"), 0, {"other": 1})
+    assert result_summary(str(tmp_path)) == {"c.yaml": (tmp_path / "c.yaml").stat().st_size} and result_summary(str(tmp_path / "no")) == {}
+    assert pipelines.compiled_stop_words(("A", "b"), ("a",)) == ("a", "b")
+
+
+def test_cluster_commits(spark, mined):
+    topics = ["subnet route table gateway", "certificate rotation expiry alarm"]
+    rows = [record(i, message=f"Fix {topics[i % 2]}", file="main.tf") for i in range(40)] + [record(99, message="Merge branch 'x'"), record(98, file="docs/a.md")]
+    folded = fold.fold_commits(mined(rows), F.struct(F.col("file")))
+    got = pipelines.cluster_commits(folded, settings(None, min_cluster_size=10, min_samples=5)).toPandas()
+    # the merge says something once its branch stands for it, and is noise; the document is not relevant
+    assert len(got) == 41 and got.groupby("msg_original").hdbscan_cluster_label.nunique().max() == 1
+    assert sorted(got.hdbscan_cluster_label.unique()) == [-1, 0, 1] and (got.hdbscan_cluster_label == -1).sum() == 1
+
+
 def test_incremental_ingest(spark, tmp_path):
     src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     src.mkdir()

@@ -80,7 +80,7 @@ DETECTORS = (
     Detector("assignment", rf"(?i){NAME}{_END}\"(?P<s>[^\"\n]{{4,}})\"", is_literal),
     Detector("assignment", rf"(?i){NAME}{_END}'(?P<s>[^'\n]{{4,}})'", is_literal),
     Detector("assignment", rf"(?im)^[-+ ]?[ \t]*(?:-[ \t]+)?[\w.-]*{NAME}:[ \t]+(?P<s>[^\s\"'#,{{}}\[\]()<>&*!|%@`][^\s\"',{{}}()]{{4,}})[ \t]*(?:#[^\n]*)?\r?$", lambda v: is_literal(v) and not re.match(r"^[\w-]+(?:\.[\w-]+)+$", v)),
-    Detector("environment", rf"(?m)^[-+ ]?[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+|ARG[ \t]+)?[A-Z0-9_]*(?i:{NAME})=(?P<s>[^\s\"'#]{{5,}})[ \t]*\r?$", is_literal),
+    Detector("environment", rf"(?m)^[-+ ]?[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+|ARG[ \t]+)?[A-Z0-9_]*(?i:{NAME})=(?P<s>[^\s\"'#][^\s\"']{{4,}})[ \t]*\r?$", is_literal),
     Detector("default", rf"(?i)\bvariable[ \t]+\"[\w.-]*{NAME}\"[ \t]*\{{(?:[^}}\"]|\"[^\"\n]*\"(?![ \t]*\}}))*?\bdefault[ \t]*=[ \t]*\"(?P<s>[^\"\n]{{4,}})\"", is_literal, lines=False),
     Detector("named_value", rf"(?i)\bname[ \t]*[=:][ \t]*\"?[\w.\[\]-]*(?:{NAME}|secretkey)\"?{_EOL}[ \t]*value[ \t]*[=:][ \t]*\"?(?P<s>[^\"\s]{{4,}})\"?", is_literal, lines=False),
 )

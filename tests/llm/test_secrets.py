@@ -16,7 +16,7 @@ FOUND = [
     ('webhook = "https://hooks.a.example/services/TZWALUA4E/BPXCLYWTB/agvIZlMgotf20azCYDYYuheZ"', 1), ('url = "https://a.b/c?sv=1&sig=jerdDiPlaaT828qhUq8RamERWSqr%3D"', 1),
     ('c = "AccountName=x;AccountKey=PxRKqT0h66r3oHghNJjUIm8vw4ocqWAI9i7EcsuuwCDU=="', 1), ("# old login: istkam / Tarnsim_1134#", 1), ("-# senha do banco: Omafen766", 1), ("// TODO rotate, current pw is Hallom@925*", 1),
     ('api_key = join("", ["BMW3iDXPigHL", "wTLYFt9c1oAi"])', 1), ('+record_senha = "Linwil421#"', 1), ("password: 'Teskel_58$x'", 1), ("  dbpass: QmVseGFuLTEwMjcj", 1), ("export RESOLVER_PASS=6N9uFbyvEWVJzdQfAOV2", 1),
-    ("os.environ['LEASE_SECRET'] = 'PgzxEt-ZOZuPS-zoufVx'", 1), ("HEADERS = {'X-Api-Key': '692a3cd1c969b93233eedc756a82c9d7'}", 1), ('+variable "x_root_pw" {\n+  type    = string\n+  default = "uPjUL+zHU!xZ"\n+}', 3),
+    ("os.environ['LEASE_SECRET'] = 'PgzxEt-ZOZuPS-zoufVx'", 1),  ("NODEPOOL_PASSWORD=Zel#jun@79#", 1), ("HEADERS = {'X-Api-Key': '692a3cd1c969b93233eedc756a82c9d7'}", 1), ('+variable "x_root_pw" {\n+  type    = string\n+  default = "uPjUL+zHU!xZ"\n+}', 3),
     ('  set {\n    name  = "auth.rootPassword"\n    value = "%i6*J@IJl5z1vO4"\n  }', 3), ("git clone https://oauth2:hvs.VMXkMYlpnZPgTEuzdEOpKX@code.example/u.git", 1),
 ]
 CLEAN = [

@@ -265,7 +265,8 @@ def label_counts(spark: SparkSession, d: str) -> DataFrame:
         count(*) FILTER (regexp_matches(text, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{2B50}}\x{{2B55}}\x{{231A}}\x{{231B}}\x{{23E9}}-\x{{23FA}}\x{{1F1E6}}-\x{{1F1FF}}]')) AS n_emojis,
         count(*) FILTER (basic LIKE 'fix:%' OR basic LIKE 'fix(%') AS n_fix, count(*) FILTER (basic LIKE 'feat:%' OR basic LIKE 'feat(%') AS n_feat FROM b""")
 def corpus_overview(spark: SparkSession, d: str) -> DataFrame:
-    return stats.corpus_overview(table(spark, d, "documents"), "text", "source", "created_at", unicode=False)
+    one = stats.corpus_overview(table(spark, d, "documents"), "text", "source", "created_at", unicode=False)
+    return one.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("min_date", "max_date")})
 
 
 @_query(r"""
@@ -334,7 +335,7 @@ def token_freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""
-    SELECT sum(freq) AS top_freq, (SELECT sum(freq) FROM {_COUNTS} c) AS total_freq, sum(freq) / (SELECT sum(freq) FROM {_COUNTS} c) AS coverage
+    SELECT sum(freq)::BIGINT AS top_freq, (SELECT sum(freq)::BIGINT FROM {_COUNTS} c) AS total_freq, sum(freq) / (SELECT sum(freq) FROM {_COUNTS} c) AS coverage
     FROM (SELECT freq FROM {_COUNTS} c ORDER BY freq DESC, token LIMIT 50) t""")
 def token_coverage(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_coverage(_counts(spark, d), 50)
@@ -430,8 +431,8 @@ _LINES = r"""
         try_cast(nullif(regexp_extract(first_value(line) OVER (PARTITION BY patch, hunk ORDER BY line_no), '^@@ -(\d+)', 1), '') AS INT) AS o0,
         try_cast(nullif(regexp_extract(first_value(line) OVER (PARTITION BY patch, hunk ORDER BY line_no), '^@@ -\S+ \+(\d+)', 1), '') AS INT) AS n0 FROM h)
     SELECT md5(patch) AS patch_id, line_no, CASE WHEN kind IN ('added', 'removed') THEN kind ELSE 'other' END AS change, CASE WHEN kind = 'head' THEN line ELSE line[2:] END AS content,
-        CASE WHEN kind IN ('removed', 'context') THEN coalesce(o0, 1) - 1 + sum(CASE WHEN kind IN ('removed', 'context') THEN 1 ELSE 0 END) OVER (PARTITION BY patch, hunk ORDER BY line_no) END AS old_lineno,
-        CASE WHEN kind IN ('added', 'context') THEN coalesce(n0, 1) - 1 + sum(CASE WHEN kind IN ('added', 'context') THEN 1 ELSE 0 END) OVER (PARTITION BY patch, hunk ORDER BY line_no) END AS new_lineno FROM k"""
+        (CASE WHEN kind IN ('removed', 'context') THEN coalesce(o0, 1) - 1 + sum(CASE WHEN kind IN ('removed', 'context') THEN 1 ELSE 0 END) OVER (PARTITION BY patch, hunk ORDER BY line_no) END)::INT AS old_lineno,
+        (CASE WHEN kind IN ('added', 'context') THEN coalesce(n0, 1) - 1 + sum(CASE WHEN kind IN ('added', 'context') THEN 1 ELSE 0 END) OVER (PARTITION BY patch, hunk ORDER BY line_no) END)::INT AS new_lineno FROM k"""
 
 
 @_query(_LINES)
@@ -559,4 +560,4 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT count(*) AS n, count(ts) AS dated, min(ts AT TIME ZONE 'UTC') AS first, max(ts AT TIME ZONE 'UTC') AS last FROM (SELECT coalesce(try_strptime(regexp_replace(trim(date), 'Z$', '+00:00'), '%Y-%m-%dT%H:%M:%S%z'), try_strptime(trim(date), '%Y-%m-%d %H:%M:%S %z'), try_strptime(trim(date), '%a %b %d %H:%M:%S %Y %z')) AS ts FROM mined_data) t")
 def date_range(spark: SparkSession, d: str) -> DataFrame:
     ts = to_instant(F.col("date"))
-    return table(spark, d, "mined_data").agg(F.count(F.lit(1)).alias("n"), F.count(ts).alias("dated"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return table(spark, d, "mined_data").agg(F.count(F.lit(1)).alias("n"), F.count(ts).alias("dated"), F.min(ts).cast("timestamp_ntz").alias("first"), F.max(ts).cast("timestamp_ntz").alias("last"))

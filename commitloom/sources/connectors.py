@@ -3,16 +3,22 @@
 ``repo_search`` reads search results that were saved as JSON, one partition per query
 in priority order. ``git_log`` reads local clones, one partition per repository: the
 commits of a range with the text of their changes, one row per commit and file.
+``clone_repositories`` makes such clones.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import shutil
 import subprocess
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import MINED, REPO_CANDIDATE
@@ -113,6 +119,38 @@ class _GitLogReader(DataSourceReader):
                     yield Path(path).name, commit, author, date, message.strip("\n"), file, "@@" + hunks.rstrip("\n") if at else "", head, "diff" if at else "empty"
 
 
+def clone_one(full_name: str, url: str, folder: str, depth: int | None, retries: int, delay: float) -> tuple[str | None, str, str | None]:
+    """(path, status, reason) of one clone: fetched if the folder already holds it, else cloned without blobs, with growing pauses between tries."""
+    owner, _, name = full_name.partition("/")
+    path = Path(folder) / f"{owner}_{name[:50]}_{hashlib.md5(full_name.encode()).hexdigest()[:8]}"
+    reason = None
+    for attempt in range(1, retries + 1):
+        try:
+            if (path / ".git").is_dir() and _git(str(path), "remote", "get-url", "origin").strip() == url:
+                _git(str(path), "fetch", "--quiet", "origin")
+            else:
+                shutil.rmtree(path, ignore_errors=True)
+                path.parent.mkdir(parents=True, exist_ok=True)
+                _git(str(path.parent), "clone", "--quiet", *(["--depth", str(depth)] if depth else ["--filter=blob:none"]), url, str(path))
+            return str(path), "success", None
+        except (subprocess.CalledProcessError, OSError) as e:
+            reason = (getattr(e, "stderr", b"") or str(e).encode()).decode(errors="ignore").strip()[:300]
+            time.sleep(delay * attempt)
+    return None, "clone_failed", reason
+
+
+def clone_repositories(df: DataFrame, name: str, base_url: str, folder: str, depth: int | None = None, retries: int = 3, delay: float = 2.0) -> DataFrame:
+    """``repo, path, status, reason`` of each distinct repository, cloned into a folder that the executors share; failures are rows."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            done = [clone_one(r, f"{base_url.rstrip('/')}/{r}", folder, depth, retries, delay) for r in pdf["repo"]]
+            yield pd.DataFrame({"repo": pdf["repo"], "path": [d[0] for d in done], "status": [d[1] for d in done], "reason": [d[2] for d in done]})
+
+    names = df.where(F.col(name).isNotNull()).select(F.col(name).alias("repo")).distinct()
+    return names.mapInPandas(run, "repo string, path string, status string, reason string")
+
+
 def register(spark: SparkSession) -> None:
     """Make ``repo_search`` and ``git_log`` known to a session."""
     spark.dataSource.register(RepoSearch)

@@ -70,6 +70,22 @@ def test_git_log_source(spark, tmp_path):
     assert append_new(got.drop("patch_kind"), new.drop("patch_kind")).count() == 3
 
 
+def test_clones(spark, tmp_path):
+    origin = tmp_path / "remote" / "o" / "n"
+    origin.mkdir(parents=True)
+    run = lambda *a: subprocess.run(["git", "-C", str(origin), "-c", "user.name=A", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (origin / "main.tf").write_text("a = 1\n")
+    run("add", "."), run("commit", "-qm", "Fix first")
+    names = spark.createDataFrame([("o/n",), ("o/n",), ("o/gone",), (None,)], "name string")
+    make = lambda: {r.repo: r for r in connectors.clone_repositories(names, "name", f"file://{tmp_path / 'remote'}", str(tmp_path / "clones"), retries=2, delay=0).collect()}
+    got = make()
+    assert got["o/n"].status == "success" and got["o/gone"].status == "clone_failed" and got["o/gone"].reason
+    assert make()["o/n"].path == got["o/n"].path  # fetched, not cloned again
+    connectors.register(spark)
+    assert spark.read.format("git_log").option("repos", got["o/n"].path).load().first().message == "Fix first"
+
+
 def test_repo_search_source(spark, tmp_path):
     (tmp_path / "0.json").write_text(json.dumps([{"repo_full_name": "a/b", "stars": 5, "forks": 1, "commits": None}]))
     (tmp_path / "1.json").write_text("broken")

@@ -67,7 +67,7 @@ def ending(text: str) -> tuple[str, str | None, str | None]:
         return ("open" if fence else "ellipsis"), token, last
     if fence and not line.startswith("```"):
         return "open", token, last
-    if _TERMINAL.search(body, max(0, len(body) - 8)) or body.endswith(("```", "}", ")", "]", ">", "|", ";", '"', "*", "`")):
+    if _TERMINAL.search(body, max(0, len(body) - 8)) or body.endswith(("`", "}", ")", "]", ">")):
         return "whole", None, last
     trailer = _TRAILER.match(line)
     if trailer:

@@ -32,7 +32,8 @@ def dominant_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     """``key, n_rows, row_share`` of the non-empty keys that hold at least ``share`` of all rows.
 
     The total counts every row, also those whose key is null or empty; it comes
-    from the files' footers and is joined as a scalar. An empty table gives no rows.
+    from the files' footers and is joined as a scalar. Equal counts are all kept. An
+    empty table gives no rows; other columns are ignored whatever their names.
     """
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = key_counts(df, key).where((F.col(key).isNotNull()) & (F.col(key) != ""))

@@ -124,7 +124,8 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = ("yes", "no")) -> tu
     decides; of more, the one with the highest belief wins, the earlier one on a tie.
     An item of one label keeps it, with the confidence that its annotator deserves. Null items, annotators and labels and labels of other classes are left out;
     repeated rows count once; if an annotator's labels of an item differ, the smallest
-    counts; an empty table gives empty results.
+    counts; an empty table gives empty results. Other columns are ignored whatever
+    their names.
     """
     clean = labels.where(F.col("item").isNotNull() & F.col("annotator").isNotNull() & F.col("label").isin(*classes))
     one = cut(clean.groupBy("item", "annotator").agg(F.min("label").alias("label")))

@@ -248,7 +248,8 @@ def classify_files(mined: DataFrame) -> DataFrame:
     and mined patterns. Evidence in one record holds for all records of that file in
     its repository; records without a repository or file stand for themselves. Null
     or empty patches leave the path to decide, a null file is never a case unless
-    its text says so. Repeated keys give one row; empty tables none.
+    its text says so. Repeated keys give one row; empty tables none. Texts
+    of any length are read whole; other columns are ignored whatever their names.
     """
     rows = cut(_content_evidence(mined.select("repo", "commit_hash", "file", "patch")))
     grouped = rows.where(F.col("rid").isNotNull() & F.col("path").isNotNull())

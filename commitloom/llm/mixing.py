@@ -58,7 +58,9 @@ def mix_sources(
 
     Documents without a source or target are left out (their tokens count in B); null weights count as 0, null repeats as 1; targets whose source has no
     documents are reported as short unless their weight is 0; documents without text
-    have 0 tokens and come along at no cost; repeated ``doc_id`` are separate rows.
+    have 0 tokens and come along at no cost; repeated ``doc_id`` are separate rows;
+    empty documents or targets give an empty mix. Texts of any length are counted
+    whole; other columns are ignored whatever their names.
     """
     docs = cut(documents.select("source", "doc_id", token_count(F.col("text")).alias("n_tokens")).withColumn("__u", unit_hash(F.col("doc_id"), F.col("source"), seed=seed)))
     sums = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))

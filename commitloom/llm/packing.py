@@ -166,7 +166,9 @@ def pack_documents(documents: DataFrame, capacity: int = 1024, shard_tokens: int
     multiples of ``capacity``; all others stay whole. A shard holds about
     ``shard_tokens`` tokens, so its index fits in a task whatever the corpus. Null and empty texts have no tokens and
     are placed in no container (``container`` is null); repeated rows are placed as often as
-    they occur; an empty table gives no rows.
+    they occur; of equally near neighbours the lower id comes first; an empty table
+    gives no rows. Texts of any length are read whole; other columns are ignored
+    whatever their names.
     """
     kind = documents.schema["doc_id"].dataType
     items = cut(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_items(capacity), _ITEM))

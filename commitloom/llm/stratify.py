@@ -50,7 +50,8 @@ def sample_to_targets(
     Null shares and minima count as 0; targets with a null category match nothing
     and are reported with a deficit; categories without a target give no rows;
     repeated keys count as often as they occur; empty items give an empty sample
-    and a report of deficits. The same seed draws the same rows on any partitioning.
+    and a report of deficits. Equal hashes are ordered by key, so the same seed draws
+    the same rows on any partitioning. Other columns are ignored whatever their names.
     """
     own = targets.select(
         "target_id", *categories, F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).alias("min_rows")

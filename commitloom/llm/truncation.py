@@ -142,7 +142,8 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     without its end; or a final word that never ends a sentence), ``ellipsis`` (an
     ellipsis after something else than a common phrase); null for whole texts. Null and empty texts are
     whole; rows without a source have no length evidence; repeated rows are judged
-    alike; an empty table gives no rows.
+    alike; texts of any length are read whole; an empty table gives no rows. Other
+    columns are ignored whatever their names.
     """
     kind = documents.schema["doc_id"].dataType
     own = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").cast("string").alias("digest"))

@@ -1,10 +1,11 @@
 """Density clustering after Campello, Moulavi and Sander (2013).
 
-Up to ``max_fit`` rows are clustered exactly: core distances, mutual reachability,
-minimum spanning tree, condensed tree, stability. Of a larger table a hash sample of
-that documented size is clustered, and every other row gets the cluster of the sample
-row that it reaches first. The sample's arrays are of bounded size, so they are sent
-to the executors; no links between rows ever leave the fit.
+Core distances, mutual reachability, minimum spanning tree, condensed tree, stability,
+always over all rows. Up to ``max_fit`` rows are fitted at once. A larger table is dealt
+to blocks of half that size, and every pair of blocks is one task: a row's nearest rows
+are among those of the pairs that it is in, and the minimum spanning tree is part of
+the union of the pairs' trees, as every edge lies in some pair. Forests are united in
+rounds; the last task, and for clusters the driver, holds one edge a row, no vectors.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import draw
+from ..lineage import cut
 
 MAX_FIT = 20_000
 _BLOCK = 1024
+#: Forests that one task unites.
+_FAN_IN = 8
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,7 +119,14 @@ def density_labels(x: np.ndarray, min_cluster_size: int = 30, min_samples: int =
     n = len(x)
     if n < max(2, min_cluster_size):
         return np.full(n, -1), np.zeros(n)
-    rows = condense(spanning_tree(x, core_distances(x, min_samples)), n, min_cluster_size)
+    return tree_labels(spanning_tree(x, core_distances(x, min_samples)), n, min_cluster_size, single, epsilon)
+
+
+def tree_labels(tree: np.ndarray, n: int, min_cluster_size: int = 30, single: bool = True, epsilon: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`density_labels` of ``n`` rows from their spanning tree."""
+    if n < max(2, min_cluster_size):
+        return np.full(n, -1), np.zeros(n)
+    rows = condense(tree, n, min_cluster_size)
     birth, kids, stability = {n: 0.0}, {}, {n: 0.0}
     for p, c, lam, _ in rows:
         if c >= n:
@@ -180,52 +190,129 @@ def _ancestors(c: int, parent_of: dict[int, int]) -> Iterator[int]:
         yield c
 
 
-def _sample(df: DataFrame, key: str, vector: str, max_fit: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.where(F.col(vector).isNotNull()).select(key, vector).orderBy(draw(F.col(key)), key).limit(max_fit).toPandas().sort_values(key)
-    return rows[key].to_numpy(), np.array(rows[vector].tolist(), dtype=np.float64).reshape(len(rows), -1)
+def forest(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a minimum spanning forest, by Kruskal's algorithm."""
+    nodes, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ends[: len(src)].tolist(), ends[len(src) :].tolist()
+    parent = list(range(len(nodes)))
+    kept = []
+    for e in np.lexsort((dst, src, weight)).tolist():
+        i, j = a[e], b[e]
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        while parent[j] != j:
+            parent[j] = parent[parent[j]]
+            j = parent[j]
+        if i != j:
+            parent[j] = i
+            kept.append(e)
+    return np.array(kept, dtype=int)
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1 if len(column) else 0)
+
+
+def _numbered(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+    """``__id, key, vector`` of the rows with a vector, and their number."""
+    rows = cut(df.where(F.col(vector).isNotNull()).select(F.monotonically_increasing_id().alias("__id"), key, vector))
+    return rows, rows.count()
+
+
+def _fitted(rows: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    pdf = rows.select("__id", key, vector).toPandas().sort_values([key, "__id"])
+    return pdf["__id"].to_numpy(), _vectors(pdf[vector])
+
+
+def _pairs(rows: DataFrame, n: int, max_fit: int) -> DataFrame:
+    """``rows`` with ``__block``, once for each pair of blocks (``__low``, ``__high``) that the row's block is in."""
+    blocks = max(2, -(-n // max(1, max_fit // 2)))
+    own = rows.withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
+    other = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("__other <> __block")
+    return other.withColumns({"__low": F.least("__block", "__other"), "__high": F.greatest("__block", "__other")}).drop("__other")
+
+
+def _core(rows: DataFrame, n: int, key: str, vector: str, k: int, max_fit: int) -> DataFrame:
+    """``__id, core`` of every row against all rows."""
+    k = min(k, n)
+    if n <= max_fit:
+        ids, x = _fitted(rows, key, vector)
+        return rows.sparkSession.createDataFrame(pd.DataFrame({"__id": ids, "core": core_distances(x, k)}), "__id bigint, core double")
+
+    def run(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = names
+        x, block, ids = _vectors(pdf[vector]), pdf["__block"].to_numpy(), pdf["__id"].to_numpy()
+        out: dict[str, list] = {"__id": [], "near": []}
+        # A block meets itself beside its next one only, so no distance is counted twice.
+        for mine, theirs in ((low, high), (high, low)):
+            at = np.flatnonzero(block == mine)
+            against = x if theirs == (mine + 1) % blocks else x[block == theirs]
+            for i in range(0, len(at), _BLOCK):
+                d = distances(x[at[i : i + _BLOCK]], against)
+                if d.shape[1] > k:
+                    d = np.partition(d, k - 1, axis=1)[:, :k]
+                out["__id"] += ids[at[i : i + _BLOCK]].tolist()
+                out["near"] += list(d)
+        return pd.DataFrame(out)
+
+    blocks = max(2, -(-n // max(1, max_fit // 2)))
+    near = _pairs(rows.select("__id", vector), n, max_fit).groupBy("__low", "__high").applyInPandas(run, "__id bigint, near array<double>")
+    return near.groupBy("__id").agg(F.element_at(F.array_sort(F.flatten(F.collect_list("near"))), k).alias("core"))
+
+
+def _tree(rows: DataFrame, n: int, key: str, vector: str, min_samples: int, max_fit: int) -> DataFrame:
+    """``src, dst, weight`` by ``__id``: the spanning tree of mutual reachability of all rows."""
+    shape = "src bigint, dst bigint, weight double"
+    if n <= max_fit:
+        ids, x = _fitted(rows, key, vector)
+        t = spanning_tree(x, core_distances(x, min_samples))
+        pdf = pd.DataFrame({"src": ids[t[:, 0].astype(int)], "dst": ids[t[:, 1].astype(int)], "weight": t[:, 2]})
+        return rows.sparkSession.createDataFrame(pdf, shape)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["__id"].to_numpy()
+        t = spanning_tree(_vectors(pdf[vector]), pdf["core"].to_numpy())
+        return pd.DataFrame({"src": ids[t[:, 0].astype(int)], "dst": ids[t[:, 1].astype(int)], "weight": t[:, 2], "part": pdf["__low"].iloc[0] * blocks + pdf["__high"].iloc[0]})
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[forest(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy())]
+
+    blocks = max(2, -(-n // max(1, max_fit // 2)))
+    core = _core(rows, n, key, vector, min_samples, max_fit)
+    edges = cut(_pairs(rows.select("__id", vector).join(core, "__id"), n, max_fit).groupBy("__low", "__high").applyInPandas(fit, shape + ", part bigint"))
+    parts = blocks * blocks
+    while parts > 1:
+        parts = -(-parts // _FAN_IN)
+        edges = cut(edges.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("bigint")).groupBy("part").applyInPandas(unite, shape + ", part bigint"))
+    return edges.select("src", "dst", "weight")
 
 
 def core_distance_rows(df: DataFrame, key: str, vector: str, k: int = 10, max_fit: int = MAX_FIT) -> DataFrame:
-    """``key, core_distance`` of every row against the (whole, or sampled) table, in blocks."""
-    _, x = _sample(df, key, vector, max_fit)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            q = np.array(pdf[vector].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-            d = np.concatenate([np.partition(distances(q[i : i + _BLOCK], x), min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] for i in range(0, len(q), _BLOCK)]) if len(q) else np.zeros(0)
-            yield pd.DataFrame({key: pdf[key], "core_distance": d})
-
-    kind = dict(df.dtypes)[key]
-    return df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"{key} {kind}, core_distance double")
+    """``key, core_distance`` of every row against the whole table, at most ``max_fit`` rows in a task."""
+    rows, n = _numbered(df, key, vector)
+    return rows.join(_core(rows, n, key, vector, k, max_fit), "__id").select(key, F.col("core").alias("core_distance"))
 
 
 def spanning_edges(df: DataFrame, key: str, vector: str, min_samples: int = 10, max_fit: int = MAX_FIT) -> DataFrame:
-    """``src, dst, weight``: the spanning tree of mutual reachability over at most ``max_fit`` rows."""
-    keys, x = _sample(df, key, vector, max_fit)
-    t = spanning_tree(x, core_distances(x, min_samples))
-    pdf = pd.DataFrame({"src": keys[t[:, 0].astype(int)], "dst": keys[t[:, 1].astype(int)], "weight": t[:, 2]})
-    kind = dict(df.dtypes)[key]
-    return df.sparkSession.createDataFrame(pdf, f"src {kind}, dst {kind}, weight double")
+    """``src, dst, weight``: the spanning tree of mutual reachability over all rows, at most ``max_fit`` vectors in a task."""
+    rows, n = _numbered(df, key, vector)
+    names = rows.select("__id", key)
+    tree = _tree(rows, n, key, vector, min_samples, max_fit)
+    named = tree.join(names.select(F.col("__id").alias("src"), F.col(key).alias("__from")), "src").join(names.select(F.col("__id").alias("dst"), F.col(key).alias("__to")), "dst")
+    return named.select(F.col("__from").alias("src"), F.col("__to").alias("dst"), "weight")
 
 
 def cluster_by_density(df: DataFrame, key: str, vector: str, min_cluster_size: int = 30, min_samples: int = 10, single: bool = True, epsilon: float = 0.0, max_fit: int = MAX_FIT) -> DataFrame:
-    """``key, label, probability`` of every row with a vector; -1 is noise. Rows outside the fitted sample follow their nearest sample row."""
-    keys, x = _sample(df, key, vector, max_fit)
-    labels, prob = density_labels(x, min_cluster_size, min_samples, single, epsilon)
-    core = core_distances(x, min_samples)
-    place = {k: i for i, k in enumerate(keys.tolist())}
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            at = np.array([place.get(k, -1) for k in pdf[key].tolist()], dtype=int)
-            new = np.flatnonzero(at < 0)
-            if len(new):
-                q = np.array(pdf[vector].iloc[new].tolist(), dtype=np.float64)
-                at[new] = np.concatenate([np.argmin(np.maximum(distances(q[i : i + _BLOCK], x), core[None, :]), axis=1) for i in range(0, len(q), _BLOCK)])
-            yield pd.DataFrame({key: pdf[key], "label": labels[at], "probability": prob[at]})
-
-    kind = dict(df.dtypes)[key]
-    return df.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"{key} {kind}, label int, probability double")
+    """``key, label, probability`` of every row with a vector; -1 is noise. At most ``max_fit`` vectors meet in a task; the driver holds the tree."""
+    rows, n = _numbered(df, key, vector)
+    tree = _tree(rows, n, key, vector, min_samples, max_fit).toPandas()
+    ids = rows.select("__id", key).toPandas().sort_values([key, "__id"])["__id"].to_numpy()
+    order = np.argsort(ids)
+    ends = [order[np.searchsorted(ids, tree[c].to_numpy(), sorter=order)].astype(float) for c in ("src", "dst")]
+    labels, prob = tree_labels(np.column_stack([*ends, tree["weight"].to_numpy()]), n, min_cluster_size, single, epsilon)
+    out = df.sparkSession.createDataFrame(pd.DataFrame({"__id": ids, "label": labels, "probability": prob}), "__id bigint, label int, probability double")
+    return rows.join(out, "__id").select(key, "label", "probability")
 
 
 def cluster_parameters(n: int, min_cluster_size: int | None = None, min_samples: int | None = None, size_share: float = 0.01, samples_share: float = 0.5) -> tuple[int, int]:

@@ -51,6 +51,20 @@ def test_density_rows_follow_a_sample(spark):
     assert stats.cluster_summary(density.cluster_by_density(df, "k", "v", 10, 5, single=False), "label").first().n_clusters == 2
 
 
+def test_tables_above_max_fit_are_fitted_whole(spark):
+    x = blobs(3)
+    df = spark.createDataFrame(pd.DataFrame({"k": range(92), "v": x.tolist()}), "k bigint, v array<double>")
+    core = density.core_distances(x, 5)
+    assert np.allclose([r.core_distance for r in density.core_distance_rows(df, "k", "v", 5, max_fit=20).orderBy("k").collect()], core, atol=1e-6)
+    edges = density.spanning_edges(df, "k", "v", 5, max_fit=20).toPandas()
+    assert len(density.forest(edges.src.to_numpy(), edges.dst.to_numpy(), edges.weight.to_numpy())) == len(edges) == 91
+    assert np.allclose(np.sort(edges.weight), np.sort(density.spanning_tree(x, core)[:, 2]), atol=1e-6)
+    labels, prob = density.density_labels(x, 10, 5, single=False)
+    got = density.cluster_by_density(df, "k", "v", 10, 5, single=False, max_fit=20).orderBy("k").collect()
+    assert [r.label for r in got] == labels.tolist() and np.allclose([r.probability for r in got], prob, atol=1e-4)
+    assert density.spanning_edges(df.limit(0), "k", "v").count() == density.core_distance_rows(df.limit(0), "k", "v").count() == 0
+
+
 def test_vectors(spark, tmp_path):
     df = spark.createDataFrame([(1, "fix subnet route"), (2, "fix subnet"), (3, None), (4, "other words here")], "id int, t string")
     v = {r.id: np.array(r.embedding) for r in embed.tfidf(df, F.col("t"), 64).collect()}

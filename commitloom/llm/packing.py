@@ -30,8 +30,6 @@ TOKEN = re.compile(PY_TOKEN)
 #: Hash buckets of terms; a fixed size, whatever the corpus.
 TERMS = 1 << 18
 K1, B = 1.2, 0.75
-#: Terms in more than this share of all texts tell none of them apart and are not queried.
-COMMON = 0.2
 #: Neighbours looked at before all are sorted.
 FIRST = 48
 
@@ -141,8 +139,6 @@ def _pack(capacity: int, table: np.ndarray, docs: int, mean: float):
         rows = np.repeat(np.arange(len(sizes)), lens)
         terms = np.concatenate([np.asarray(t, dtype=np.int64) for t in pdf["terms"]]) if lens.sum() else np.zeros(0, dtype=np.int64)
         tf = np.concatenate([np.asarray(t, dtype=np.float64) for t in pdf["tfs"]]) if lens.sum() else np.zeros(0)
-        telling = table[terms] <= max(COMMON * docs, 1)
-        rows, terms, tf = rows[telling], terms[telling], tf[telling]
         weights = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[rows] / max(mean, 1.0)))
         boxes = pack_shard(sizes, rows, terms, weights, capacity)
         flat = np.array([i for box in boxes for i in box], dtype=np.int64)

@@ -39,6 +39,13 @@ def test_pack_documents(spark):
     assert P.packing_report(got, 100).first().n_tokens == sum(count.values())
 
 
+def test_common_terms_count(spark):
+    # Two terms that half of all texts have each: only they tell the groups apart.
+    docs = spark.createDataFrame([(i, ("plan " if i % 2 else "drift ") * 5 + f"own{i}") for i in range(8)], "doc_id int, text string")
+    got = P.pack_documents(docs, capacity=12).groupBy("container").agg(F.collect_set(F.col("doc_id") % 2).alias("groups")).collect()
+    assert len(got) == 4 and all(len(r.groups) == 1 for r in got)
+
+
 def test_endings():
     form = lambda t: T.ending(t)[0]
     want = {

@@ -1,6 +1,8 @@
 """Filling containers of fixed capacity with whole texts that belong together.
 
-Texts are dealt to shards of bounded size by hash. Each shard has a BM25 inverted
+Texts are dealt to shards of bounded size by weighted min-hashing: each text samples one
+of its terms by BM25 weight, so that similar texts tend to sample the same one, and the
+texts of a term share a shard. Each shard has a BM25 inverted
 index of its texts, weighted by document frequencies of the whole corpus. The largest
 unused text of a shard is the seed of a container; the index returns its unused
 neighbours, which fill the container greedily while they fit, and the largest texts
@@ -32,6 +34,8 @@ TERMS = 1 << 18
 K1, B = 1.2, 0.75
 #: Neighbours looked at before all are sorted.
 FIRST = 48
+#: Parts of a term's texts, by a second sampled term, if they exceed a shard.
+PARTS = 64
 
 _ITEM = "doc_id string, n_tokens bigint, n_pieces int, start bigint, size int, starts array<int>, terms array<int>, tfs array<int>"
 _PLACED = "doc_id string, piece int, n_pieces int, token_start bigint, n_tokens int, container string, slot int"
@@ -112,15 +116,18 @@ def pack_shard(sizes: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights:
             if spans:
                 scores = np.bincount(np.concatenate([post_items[s] for s in spans]), np.concatenate([post_weights[s] for s in spans]), minlength=n)
                 scores[used | (sizes > room)] = 0.0
-                near = np.argpartition(-scores, FIRST)[:FIRST] if n > FIRST else np.arange(n)
-                near = near[np.argsort(-scores[near], kind="stable")]
-                for j in near.tolist():
-                    if scores[j] <= 0.0 or not room:
+                top = float(np.partition(scores, n - FIRST)[n - FIRST]) if n > FIRST else 0.0
+                for near in (scores >= top, scores < top):
+                    if not room or largest(room) < 0:
                         break
-                    if sizes[j] <= room:
-                        used[j] = True
-                        box.append(j)
-                        room -= int(sizes[j])
+                    near = np.flatnonzero(near & (scores > 0.0) & (sizes <= room))
+                    for j in near[np.argsort(-scores[near], kind="stable")].tolist():
+                        if sizes[j] <= room:
+                            used[j] = True
+                            box.append(j)
+                            room -= int(sizes[j])
+                            if not room:
+                                break
             while (j := largest(room)) >= 0:
                 used[j] = True
                 box.append(j)
@@ -129,8 +136,82 @@ def pack_shard(sizes: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights:
     return out
 
 
+def _bm25(tf: np.ndarray, sizes: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / max(mean, 1.0)))
+
+
+def _idf(table: np.ndarray, docs: int) -> np.ndarray:
+    return np.log1p((docs - table + 0.5) / (table + 0.5))
+
+
+def sampled_terms(terms: pd.Series, tfs: pd.Series, sizes: pd.Series, draws: np.ndarray, table: np.ndarray, mean: float) -> np.ndarray:
+    """A term of each text for every row of ``draws``, which all texts share; TERMS if no other text has any of its terms."""
+    lens = terms.str.len().to_numpy(dtype=np.int64)
+    out = np.full((len(lens), len(draws)), TERMS, dtype=np.int64)
+    if not lens.sum():
+        return out
+    rows = np.repeat(np.arange(len(lens)), lens)
+    flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in terms])
+    tf = np.concatenate([np.asarray(t, dtype=np.float64) for t in tfs])
+    shared = table[flat] > 1
+    rows, flat, tf = rows[shared], flat[shared], tf[shared]
+    if not len(rows):
+        return out
+    at, firsts, n = np.unique(rows, return_index=True, return_counts=True)
+    weights = _bm25(tf, sizes.to_numpy()[rows], mean)
+    for k, of in enumerate(draws):
+        own = of[flat] / weights
+        hits = np.flatnonzero(own == np.repeat(np.minimum.reduceat(own, firsts), n))
+        out[rows[hits[::-1]], k] = flat[hits[::-1]]
+    return out
+
+
+def _sharded(items: DataFrame, shards: int, table: np.ndarray, docs: int, mean: float) -> DataFrame:
+    """``items`` with ``shard``: texts of one sampled term together; a term or part of one above a shard's size is spread by hash."""
+    if shards == 1:
+        return items.withColumn("shard", F.lit(0))
+    draws = -np.log(np.random.default_rng(0).random((2, TERMS))) / _idf(table, docs)
+
+    @F.pandas_udf("key int, part int")
+    def keys(terms: pd.Series, tfs: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        k = sampled_terms(terms, tfs, sizes, draws, table, mean)
+        return pd.DataFrame({"key": k[:, 0], "part": k[:, 1] % PARTS})
+
+    items = cut(items.withColumn("k", keys("terms", "tfs", "size")))
+    keyed = items.groupBy("k.key").agg(F.sum("size").alias("n"))
+    size = np.zeros(TERMS + 1)
+    for r in keyed.toLocalIterator():  # at most TERMS + 1 rows
+        size[r.key] = r.n
+    each = size.sum() / shards
+    start = np.cumsum(size) - size
+    hot = np.flatnonzero(size > each)
+    place = np.full(TERMS + 1, -1)
+    place[hot] = np.arange(len(hot))  # fewer than shards
+    inner = np.zeros((len(hot), PARTS))
+    if len(hot):
+        parts = items.where(F.col("k.key").isin(hot.tolist())).groupBy("k.key", "k.part").agg(F.sum("size").alias("n"))
+        for r in parts.toLocalIterator():  # at most PARTS rows a shard
+            inner[place[r.key], r.part] = r.n
+    inner_start = np.cumsum(inner, axis=1) - inner
+
+    spread = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    @F.pandas_udf("int")
+    def shard(key: pd.Series, part: pd.Series, at: pd.Series) -> pd.Series:
+        key, part = key.to_numpy(), part.to_numpy()
+        base, width = start[key], size[key]
+        big = np.flatnonzero(place[key] >= 0)
+        if len(big):
+            cell = place[key[big]], part[big]
+            base[big], width[big] = base[big] + inner_start[cell], inner[cell]
+        within = np.where(width > each, at.to_numpy(), 0.5)
+        return pd.Series(np.minimum((base + width * within) // each, shards - 1).astype(np.int32))
+
+    return items.withColumn("shard", shard("k.key", "k.part", spread)).drop("k")
+
+
 def _pack(capacity: int, table: np.ndarray, docs: int, mean: float):
-    idf = np.log1p((docs - table + 0.5) / (table + 0.5))
+    idf = _idf(table, docs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "size"], kind="stable", na_position="first")
@@ -139,7 +220,7 @@ def _pack(capacity: int, table: np.ndarray, docs: int, mean: float):
         rows = np.repeat(np.arange(len(sizes)), lens)
         terms = np.concatenate([np.asarray(t, dtype=np.int64) for t in pdf["terms"]]) if lens.sum() else np.zeros(0, dtype=np.int64)
         tf = np.concatenate([np.asarray(t, dtype=np.float64) for t in pdf["tfs"]]) if lens.sum() else np.zeros(0)
-        weights = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[rows] / max(mean, 1.0)))
+        weights = idf[terms] * _bm25(tf, sizes[rows], mean)
         boxes = pack_shard(sizes, rows, terms, weights, capacity)
         flat = np.array([i for box in boxes for i in box], dtype=np.int64)
         lengths = np.array([len(b) for b in boxes], dtype=np.int64)
@@ -173,7 +254,7 @@ def pack_documents(documents: DataFrame, capacity: int = 1024, shard_tokens: int
     for r in items.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most TERMS rows
         table[r.t] = r.n
     shards = max(1, -(-int(stats.tokens or 0) // shard_tokens))
-    keyed = items.where(F.col("size") > 0).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
+    keyed = _sharded(items.where(F.col("size") > 0).drop("starts"), shards, table, stats.docs or 0, stats.mean or 1.0)
     packed = keyed.select("shard", "doc_id", "n_pieces", "start", "size", "terms", "tfs").groupBy("shard").applyInPandas(_pack(capacity, table, stats.docs or 0, stats.mean or 1.0), _PLACED)
     pieces = items.where(F.col("n_pieces") > 1).select("doc_id", "n_pieces", F.posexplode(F.slice("starts", 1, F.col("n_pieces") - 1)).alias("piece", "at"))
     full = pieces.select(

@@ -46,6 +46,26 @@ def test_common_terms_count(spark):
     assert len(got) == 4 and all(len(r.groups) == 1 for r in got)
 
 
+def test_neighbours_beyond_the_first():
+    # Item 2 fits beside the seed; then 60 near ones don't, and a farther one does, before an unrelated one of its size.
+    sizes = np.array([5, 1, 4] + [2] * 60 + [1])
+    rows, weights = np.array([0, 2, *range(3, 63), 63]), np.array([1.0, 9.0, *[5.0] * 60, 1.0])
+    assert P.pack_shard(sizes, rows, np.zeros(63, dtype=int), weights, 10)[0] == [0, 2, 63]
+
+
+def test_similar_texts_share_a_shard(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{g}x{rng.randrange(12)}" for _ in range(40)) for g in range(40) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = P.pack_documents(docs, capacity=160, shard_tokens=640).where("container IS NOT NULL")
+    shards = got.select(F.col("doc_id"), F.split("container", "-")[0].alias("s")).toPandas()
+    together = shards.groupby(shards.doc_id // 4).s.apply(lambda s: s.value_counts().max())
+    assert together.mean() > 2.4 and shards.groupby("s").size().max() <= 48  # by hash about 1.6
+    same = spark.createDataFrame([(i, "same words here") for i in range(400)], "doc_id int, text string")
+    spread = P.pack_documents(same, capacity=30, shard_tokens=120).groupBy(F.split("container", "-")[0]).count().toPandas()
+    assert len(spread) == 10 and spread["count"].max() <= 80
+
+
 def test_endings():
     form = lambda t: T.ending(t)[0]
     want = {

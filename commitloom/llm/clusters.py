@@ -7,7 +7,9 @@ every bucket of forms that share one of their rarest bigrams (a prefix filter fo
 threshold), each form is compared with the bucket's lowest form only, never with all.
 A form without a similar lower one is a pivot; pivots absorb their similar forms, the
 closest pivot wins, and the rest goes into the next round. Pivots then meet each other
-in the same way, members move to the closest medoid, and medoids are computed again.
+in the same way. Those that remain meet all forms of their buckets, so that no similar
+form stays apart because others hide it. Members move to the closest medoid, and medoids
+are computed again.
 """
 
 from __future__ import annotations
@@ -106,6 +108,18 @@ def _edges(posts: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     lows = posts.groupBy("gram").agg(F.min("form").alias("low"), F.max("form").alias("top")).where("low < top").drop("top")
     shapes = posts.groupBy(F.col("form").alias("low")).agg(F.first("n").alias("low_n"), F.first("sig").alias("low_sig"))
     met = posts.join(lows.join(shapes, "low"), "gram").where("form > low")
+    return _similar(met, forms, threshold)
+
+
+def _late_edges(posts: DataFrame, links: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
+    """``form, low, sim``: every form of ``posts`` with the similar forms among those that ``links`` absorbs not; each pair of the latter once."""
+    marked = posts.join(links.select("form").distinct().withColumn("absorbed", F.lit(True)), "form", "left")
+    lows = marked.where("absorbed IS NULL").select("gram", F.col("form").alias("low"), F.col("n").alias("low_n"), F.col("sig").alias("low_sig"))
+    return _similar(marked.join(lows, "gram").where("form > low OR absorbed"), forms, threshold)
+
+
+def _similar(met: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
+    """``form, low, sim`` of the similar pairs among ``form, n, sig, low, low_n, low_sig``."""
     # Each bit that only one side has is a bigram that the sides don't share.
     most = F.least(F.col("n") - F.bit_count(F.col("sig").bitwiseAND(F.bitwise_not("low_sig"))), F.col("low_n") - F.bit_count(F.col("low_sig").bitwiseAND(F.bitwise_not("sig"))))
     met = met.where(most >= threshold / (1 + threshold) * (F.col("n") + F.col("low_n")) - 1e-9).select("form", "low").distinct()
@@ -139,6 +153,18 @@ def _pivot_rounds(posts: DataFrame, forms: DataFrame, threshold: float) -> tuple
     return absorbed, met
 
 
+def _edge_rounds(edges: DataFrame) -> DataFrame:
+    """``form, pivot`` of the forms that a pivot absorbs, by rounds over given ``form, low, sim``."""
+    absorbed = edges.select("form", F.col("low").alias("pivot")).limit(0)
+    while not edges.isEmpty():
+        held = edges.select(F.col("form").alias("low")).distinct()
+        taken = cut(edges.join(held, "low", "left_anti").groupBy("form").agg(F.max_by("low", F.struct("sim", -F.col("low"))).alias("pivot")))
+        absorbed = absorbed.union(taken)
+        rest = edges.select("form").distinct().join(taken, "form", "left_anti")
+        edges = cut(edges.join(rest, "form", "left_semi").join(rest.withColumnRenamed("form", "low"), "low", "left_semi").select("form", "low", "sim"))
+    return absorbed
+
+
 def _follow(links: DataFrame, more: DataFrame) -> DataFrame:
     """``form, pivot`` where pivots that ``more`` gives to another pivot are replaced, and its own rows added."""
     step = more.select(F.col("form").alias("pivot"), F.col("pivot").alias("next"))
@@ -180,6 +206,9 @@ def cluster_messages(mined: DataFrame, threshold: float = SIMILARITY) -> DataFra
     pivots = posts.join(links.select("form").distinct(), "form", "left_anti")
     again, met_again = _pivot_rounds(cut(pivots), forms, threshold)
     links = cut(_follow(links, again))
+    late = cut(_late_edges(posts, links, forms, threshold))
+    links = cut(_follow(links, _edge_rounds(late.join(links.select("form").distinct(), "form", "left_anti").select("form", "low", "sim"))))
+    met_again = met_again.union(late.select("form", "low"))
     groups = links.select("pivot").distinct()
     several = forms.select("form", "weight").join(links, "form", "left").withColumn("pivot", F.coalesce("pivot", "form"))
     in_groups = cut(several.join(groups, "pivot", "left_semi"))

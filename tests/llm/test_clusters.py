@@ -42,6 +42,16 @@ def test_against_brute_force(spark, mined):
     assert shown and all(1 <= len(r.typical_members) <= 3 and r.size >= 2 for r in shown)
 
 
+def test_lower_forms_hide_no_pair(spark, mined):
+    form = lambda m: C.xxhash.xxh64_intdigest(" ".join(C.normal_form(m))) >> 1
+    stock = WORDS[:10]
+    pair = [" ".join([*stock, *WORDS[i : i + 5]]) for i in (20, 30)]
+    # Each bigram that the pair shares is also held by a lower form that is like neither.
+    hiding = [next(m for a in WORDS for b in WORDS if form(m := f"{stock[i]} {stock[i + 1]} {a}{b}") < min(map(form, pair))) for i in range(9)]
+    df = mined([{"commit_hash": str(i), "message": m} for i, m in enumerate(pair + hiding)])
+    assert {(r.commit_hash_a, r.commit_hash_b) for r in C.similar_pairs(C.cluster_messages(df), 1).collect()} == {("0", "1")}
+
+
 def test_edges(spark, mined):
     df = mined([
         {}, {"commit_hash": "", "message": "x"}, {"commit_hash": "a", "message": None}, {"commit_hash": "b", "message": ""}, {"commit_hash": "c", "message": "!!!"}, {"commit_hash": "d", "message": "!!!"},

@@ -1,9 +1,10 @@
 """Texts that lost their end by a length limit or in transfer.
 
 The corpus vocabulary forms a distributed trie: one row per proper prefix of a known
-word. A text's final token that is no known word but a node of that trie was cut
-inside a word. Words are counted without each text's own last token, so cut texts do
-not teach the vocabulary their stumps. Length evidence finds the limits of the sources
+word. A text's final token that is no known word, or a far rarer one than a word below it,
+but a node of that trie was cut inside a word. Words are counted without marks of cutting
+and each text's own last token before them, so cut texts do not teach the vocabulary
+their stumps. Length evidence finds the limits of the sources
 (a length near the top that many different texts share, in characters or bytes); the form
 of the ending decides the rest.
 """
@@ -27,6 +28,8 @@ LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
 OPEN_TEXTS, OPEN_COMMON, OPEN_SHARE = 12, 0.005, 0.004
 #: A last sentence of so many different texts is a phrase and not a stump.
 PHRASE_TEXTS = 3
+#: A token in at most this share of the texts that a longer word is in, is no word but its stump.
+STUMP_SHARE = 0.001
 
 # Marks that mail, log and export tools leave where they cut.
 _MARK = re.compile(r"(?i)[ \t]*(?:\((?:cont|contd|continued|cut|truncated|snip|more)\.{0,3}\)?|<(?:snip|cut|truncated|more|clipped)>|\[(?:\.\.\.|…|cut|snip|snipped|truncated|clipped|continued|more|message clipped)\]?)$")
@@ -96,7 +99,9 @@ def _words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         closing: Counter[str] = Counter()
         for t in pdf["text"]:
             if isinstance(t, str):
-                known.update(set(WORD.findall(t)[:-1]))
+                body = t.rstrip()
+                mark = _MARK.search(body, max(0, len(body) - 40))
+                known.update(set(WORD.findall(body[: mark.start()] if mark else body)[:-1]))
                 ends = set()
                 for part in _CLOSE.split(t)[:-1]:
                     part = part.rstrip(_QUOTES)
@@ -116,10 +121,10 @@ def vocabulary(documents: DataFrame) -> DataFrame:
 
 
 def trie_nodes(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``token, below``: the wanted tokens that are proper prefixes of known words, with the number of such words."""
+    """``token, below, most``: the wanted tokens that are proper prefixes of known words, with the number of such words and the texts of the most common one."""
     prefix = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substring("word", F.lit(1), n))
-    nodes = words.where(F.length("word") > 1).select(F.explode(prefix).alias("token"))
-    return nodes.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("below"))
+    nodes = words.where(F.length("word") > 1).select("texts", F.explode(prefix).alias("token"))
+    return nodes.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("below"), F.max("texts").alias("most"))
 
 
 def length_limits(rows: DataFrame) -> DataFrame:
@@ -151,11 +156,11 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     words = cut(vocabulary(documents))
     limits = length_limits(rows.where(F.col("source").isNotNull() & F.col("n_chars").isNotNull()))
     finals = rows.where(F.col("token").isNotNull()).select("token").distinct().join(words.withColumnRenamed("word", "token"), "token", "left")
-    stumps = trie_nodes(words, finals.where(F.col("texts").isNull()))
     total = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
+    stumps = trie_nodes(words, finals.where(F.col("texts").isNull() | (F.col("texts") <= STUMP_SHARE * total)))
     common = (F.col("texts") >= OPEN_TEXTS) & (F.col("texts") >= OPEN_COMMON * total)
     open_word: Column = common & (F.col("closing") < OPEN_SHARE * F.col("texts"))
-    judged = finals.join(stumps, "token", "left").select("token", (F.col("texts").isNull() & F.col("below").isNotNull()).alias("stump"), F.coalesce(open_word, F.lit(False)).alias("dangling"))
+    judged = finals.join(stumps, "token", "left").select("token", (F.coalesce("texts", F.lit(0)) <= STUMP_SHARE * F.col("most")).alias("stump"), F.coalesce(open_word, F.lit(False)).alias("dangling"))
     phrases = rows.where("form = 'ellipsis'").groupBy("last").agg(F.approx_count_distinct("digest", 0.02).alias("said"))
     # Only loose ends look up their token, and only ellipses their sentence; all other rows get keys that match nothing and spread evenly.
     alone = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(4096)).cast("string"))

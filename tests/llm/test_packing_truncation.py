@@ -96,6 +96,13 @@ def test_truncated(spark):
     assert T.find_truncated(docs.limit(0)).count() == 0
 
 
+def test_stumps_in_marked_and_rare_texts(spark):
+    texts = [f"Step {i} waits for the dashboard. Then for the gateway. All is well {i}." for i in range(1100)] + ["Guard subnet dashboa [truncated]", "Pin the dashboa", "Pin the gatew", "We call it gatew here.", "Pin the dashboard"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("source", F.lit(None).cast("string"))
+    got = {r.doc_id: r.evidence for r in T.find_truncated(docs).where("truncated").collect()}
+    assert got == {1100: "mark", 1101: "word", 1102: "word"}
+
+
 def test_trie_against_brute_force(spark):
     words = ["a", "an", "ant", "anthem", "bee", "beetle", "café"]
     v = spark.createDataFrame([(w, 1, 0) for w in words], "word string, texts bigint, closing bigint")

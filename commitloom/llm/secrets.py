@@ -28,6 +28,7 @@ NAME = (
     r"signing_?key|shared_?key|licen[cs]e_?key|metrics_?key|private_?key|encryption_?key|account_?key|hmac|psk|key_value|credentials?)"
 )
 _END = r"[\"'\]]{0,2}[ \t]*(?:=>|:=|=|:)[ \t]*"
+_GAP = r"\s(?:\s|(?<=\n)[-+])*"  # white space, over line ends and diff columns too
 _EOL = r"[ \t]*\r?\n[-+ ]?"
 
 #: Names of values that are not secrets themselves.
@@ -65,17 +66,17 @@ DETECTORS = (
     Detector("private_key", r"(?P<s>-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----)|(?<=\n)-)*(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----)?)", lines=False),
     Detector("service_token", r"(?<![\w])(?P<s>(?:gh(?:p|o|u|s|r)_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{18,}|xox(?:a|b|e|p|r|s)-[\w-]{10,}|npm_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{40,}|hvs\.[\w-]{20,}|AIza[\w-]{30,}|(?:s|r)k_live_\w{16,}|SG\.[\w-]{16,}\.[\w-]{16,}))"),
     Detector("jwt", r"(?<![\w-])(?P<s>eyJ[\w-]{6,}\.eyJ[\w-]{6,}\.[\w-]{10,})"),
-    Detector("url", r"(?<![\w])[a-z][a-z0-9+.-]{1,20}://[^\s:@/\"'<>]{0,80}:(?P<s>[^\s@/\"'<>]{3,200})@", lambda v: not REFERENCE.search(v) and not PLACEHOLDER.match(v) and not v.startswith("$")),
-    Detector("basic_auth", r"(?i)authorization[\"']?\s{0,3}[:=]\s{0,3}[\"']?basic\s+(?P<s>[A-Za-z0-9+/]{8,}={0,2})", is_literal),
-    Detector("bearer_auth", r"(?i)authorization[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?:bearer|token)\s+(?P<s>[\w.+/=-]{12,})", is_literal),
-    Detector("command", r"\bcurl\b[^\n]{0,200}?\s(?:-u|--user)[ =]?[\"']?[\w.@-]+:[\"']?(?P<s>[^\s\"']{4,})", is_literal),
+    Detector("url", r"(?<![\w])[a-z][a-z0-9+.-]{1,20}://[^\s:@/\"'<>]*:(?P<s>[^\s@/\"'<>]{3,})@", lambda v: not REFERENCE.search(v) and not PLACEHOLDER.match(v) and not v.startswith("$")),
+    Detector("basic_auth", rf"(?i)authorization[\"']?(?:{_GAP})?[:=](?:{_GAP})?[\"']?basic{_GAP}(?P<s>[A-Za-z0-9+/]{{8,}}={{0,2}})", is_literal, lines=False),
+    Detector("bearer_auth", rf"(?i)authorization[\"']?(?:{_GAP})?[:=](?:{_GAP})?[\"']?(?:bearer|token){_GAP}(?P<s>[\w.+/=-]{{12,}})", is_literal, lines=False),
+    Detector("command", r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[\w.@-]+:[\"']?(?P<s>[^\s\"']{4,})", is_literal),
     Detector("command", r"\bsshpass\s+-p\s*[\"']?(?P<s>[^\s\"']{4,})", is_literal),
-    Detector("command", r"\b(?:mysql|mysqldump|mysqladmin)\b[^\n]{0,200}?\s-p[\"']?(?P<s>[^\s\"']{4,})", is_literal),
-    Detector("netrc", r"\blogin\s+\S+\s+password\s+(?P<s>\S{4,})", is_literal),
+    Detector("command", r"\b(?:mysql|mysqldump|mysqladmin)\b[^\n]*?\s-p[\"']?(?P<s>[^\s\"']{4,})", is_literal),
+    Detector("netrc", rf"\blogin{_GAP}\S+{_GAP}password{_GAP}(?P<s>\S{{4,}})", is_literal, lines=False),
     Detector("webhook", r"(?P<s>https://hooks\.[\w.-]+/services/T\w{6,}/B\w{6,}/\w{12,})"),
     Detector("sas", r"[?&]sig=(?P<s>[\w%+/=-]{16,})"),
     Detector("account_key", r"AccountKey=(?P<s>[A-Za-z0-9+/]{30,}={0,2})"),
-    Detector("comment", r"(?im)^[-+ ]?[ \t]*(?:#|//|/\*|\*|--|;|<!--)[^\n]{0,160}?\b(?:pass(?:word|wd)?|pwd|pw (?:is|was)|pw ?[:=]|senha|contrase[nñ]a|login|creds?|credentials?|credenciais|secret|token|api key|usu[aá]rio)\b[^\n]{0,80}?[ \t:=/](?P<s>[^\s:=/,;\"'()]{6,})[ \t]*(?:\*/|-->)?[ \t]*\r?$", lambda v: is_literal(v) and bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and not re.match(r"^(?:v?\d[\d.]*\w?|#?\d+|\d{4}-\d\d(?:-\d\d)?\S*)$", v) and bool(re.search(r"[A-Z]|[^\w.\-]", v) or len(v) >= 20)),
+    Detector("comment", r"(?im)^[-+ ]?[ \t]*(?:#|//|/\*|\*|--|;|<!--)[^\n]*?\b(?:pass(?:word|wd)?|pwd|pw (?:is|was)|pw ?[:=]|senha|contrase[nñ]a|login|creds?|credentials?|credenciais|secret|token|api key|usu[aá]rio)\b[^\n]*?[ \t:=/](?P<s>[^\s:=/,;\"'()]{6,})[ \t]*(?:\*/|-->)?[ \t]*\r?$", lambda v: is_literal(v) and bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and not re.match(r"^(?:v?\d[\d.]*\w?|#?\d+|\d{4}-\d\d(?:-\d\d)?\S*)$", v) and bool(re.search(r"[A-Z]|[^\w.\-]", v) or len(v) >= 20)),
     Detector("joined", rf"(?i){NAME}{_END}join\([ \t]*\"\"[ \t]*,[ \t]*\[(?P<s>[^\]\n]{{8,}})\]", lambda v: "var." not in v and "${" not in v and not PLACEHOLDER.match(v.strip("\"' "))),
     Detector("assignment", rf"(?i){NAME}{_END}\"(?P<s>[^\"\n]{{4,}})\"", is_literal),
     Detector("assignment", rf"(?i){NAME}{_END}'(?P<s>[^'\n]{{4,}})'", is_literal),
@@ -88,6 +89,10 @@ CONDITIONS = tuple(required(d.regex) for d in DETECTORS)
 COMPILED = tuple(re.compile(d.regex) for d in DETECTORS)
 
 
+def _line_starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text)), len(text) + 1]
+
+
 def findings(text: str, which: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the secrets in a text, apart from each other and in order.
 
@@ -95,7 +100,10 @@ def findings(text: str, which: list[tuple[int, int, int]] | None = None) -> list
     (detector, start, end) of the parts to search, by rising detector; everything by default.
     """
     spans: list[tuple[int, int, str]] = []
-    for k, lo, hi in which if which is not None else [(k, 0, len(text)) for k in range(len(DETECTORS))]:
+    if which is None:
+        starts = _line_starts(text)
+        which = [(k, a, b) for k, d in enumerate(DETECTORS) for a, b in (((a, b - 1) for a, b in zip(starts, starts[1:])) if d.lines else [(0, len(text))])]
+    for k, lo, hi in which:
         d = DETECTORS[k]
         for m in COMPILED[k].finditer(text[lo:hi]):
             a, b = m.span("s")
@@ -154,7 +162,7 @@ def _detect(texts: list[str | None], index: Index) -> list[list[tuple[int, int,
         for i, wanted in tries.items():
             text = texts[i]
             if text:
-                starts = [0, *(m.end() for m in re.finditer("\n", text)), len(text) + 1]
+                starts = _line_starts(text)
                 out[i] = findings(text, [(k, 0, len(text)) if n < 0 else (k, starts[n], starts[n + 1] - 1) for k, n in wanted])
     return out
 

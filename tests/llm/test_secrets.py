@@ -48,6 +48,20 @@ def test_index_loses_nothing():
     assert all(c is not None for c in S.CONDITIONS)
 
 
+def test_line_ends_windows_and_size_change_nothing():
+    gap = " -v" * 100
+    texts = [
+        "+machine h\n+login u\n+password 58Fnc1ljT7zHXu", "login u\r\npassword 58Fnc1ljT7zHXu", '+"Authorization":\n+  "Basic QWxhZGRpbjpvcGVu1A=="', "Authorization: Bearer\n  aB3dEfGh1jKlMn0p",
+        f"curl{gap} -u joe:58Fnc1ljT7z h", f"mysql{gap} -p58Fnc1ljT7z", f"# {gap} password {gap} 58Fnc1ljT7z$", f"https://joe:{'aB3dE' * 50}@h", f"https://{'joe' * 40}:58Fnc1ljT7z@h",
+    ]
+    index = S._new_index()
+    assert [len(x) for x in S._detect(texts, index)] == [1] * len(texts)
+    far = "curl x\n-u joe:58Fnc1ljT7z"  # not one line
+    padding = "\n" + "q " * (S.INDEX_BYTES // 2) + "\n"
+    for t in (texts[0], far):
+        assert S._detect([t + padding], index) == S._detect([t], index)
+
+
 def test_required_trigrams_are_necessary():
     index = Index([b"abc"])
     for rx, texts in ((r"ab(?:cd|ce)+f?", ["xabcdx", "abceabce"]), (r"(?i)Key[=:]\d+", ["KEY=1", "key:22"]), (r"a{2,3}b?c", ["aac", "aaabc"]), (r"(?:foo|bar)?baz", ["baz", "foobaz"])):

@@ -198,7 +198,7 @@ def _content_evidence(mined: DataFrame) -> DataFrame:
         (F.coalesce((origin != "") & (F.regexp_replace(origin, r"\.+$", "") != own), F.lit(False))).alias("copied"),
         F.coalesce(long_file & F.col("patch").rlike(BLOB), F.lit(False)).alias("blob"),
         F.when(F.lower(path).rlike(MINIFIED_FILE), F.coalesce(F.exists(F.split("patch", "\n"), _dense), F.lit(False))).otherwise(False).alias("minified"),
-        F.when(F.length("patch") >= 40, F.xxhash64("patch")).alias("digest"),
+        F.when(F.col("patch").rlike(r"\S"), F.xxhash64(F.regexp_replace("patch", r"\r\n?", "\n"))).alias("digest"),
     )
 
 
@@ -210,7 +210,7 @@ def _copies_of_other_repositories(files: DataFrame) -> DataFrame:
     """
     texts = files.where(F.col("path").isNotNull() & F.col("digest").isNotNull()).select(F.coalesce("rid", F.lit("")).alias("rid"), "path", "digest").distinct()
     parts = F.split("path", "/")
-    seen = texts.where(F.size(parts) > 2).select("rid", "path", "digest", F.posexplode(F.slice(parts, 1, F.size(parts) - 2)).alias("i", "seg"))
+    seen = texts.where(F.size(parts) > 1).select("rid", "path", "digest", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("i", "seg"))
     name = F.lower(F.regexp_replace("seg", r"-v?\d+\.\d+(?:\.\d+)?$", ""))
     rest = F.array_join(F.slice(parts, F.col("i") + 2, F.size(parts)), "/")
     claims = seen.select("rid", "path", "digest", F.xxhash64(name, rest).alias("place"))

@@ -46,6 +46,12 @@ def test_reasons(mined):
         assert got[(r, f)] == want, (r, f, got[(r, f)])
 
 
+def test_copies_at_the_root_with_other_line_ends(mined):
+    rows = [("o_net_00000001", "main.tf", CODE, None), ("o_net_00000001", "short.tf", "+a = 1", None), ("p_b_00000002", "modules/net/main.tf", CODE.replace("\n", "\r\n"), "copy"), ("p_b_00000002", "net/short.tf", "+a = 1", "copy"), ("p_b_00000002", "net/other.tf", CODE, None)]
+    got = reasons(mined([{"repo": r, "commit_hash": "c", "file": f, "patch": p} for r, f, p, _ in rows]))
+    assert got == {(r, f): want for r, f, _, want in rows}
+
+
 def test_attributes_and_mining(mined):
     attrs = "# comment\n*.snap linguist-generated\nlib/** linguist-vendored=true\nlib/own.js -linguist-vendored\nvendor/ok.tf linguist-vendored=false\n\"a b.txt\" linguist-generated=true\n"
     rows = [{"repo": "r", "commit_hash": "c", "file": ".gitattributes", "patch": attrs}, {"repo": "r", "commit_hash": "c", "file": "sub/.gitattributes", "patch": "@@ -0,0 +1,2 @@\n+*.snap !linguist-generated\n-x.js linguist-generated\n"}]

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 _TOKEN = re.compile(
     r"""(?P<space>[ \t\r]+|\#[^\n]*|//[^\n]*|/\*.*?\*/)|(?P<nl>\n)|(?P<heredoc><<-?\s*"?(?P<tag>\w+)"?[ \t]*\r?\n.*?\n[ \t]*(?P=tag)\b)|(?P<str>"(?:[^"\\$]|\\.|\$(?!\{)|\$\{(?:[^{}"]|"(?:[^"\\]|\\.)*"|\{[^{}]*\})*\})*")
     |(?P<num>-?\d+(?:\.\d+)?\b)|(?P<id>[A-Za-z_][\w-]*)|(?P<op>==|!=|<=|>=|&&|\|\||=>|\.\.\.|[-+*/%<>?:!=.,{}\[\]()$&|^~@])""",
@@ -223,14 +225,15 @@ def dependencies(attrs: DataFrame, key: list[str]) -> DataFrame:
     return attrs.select(*key, src.alias("src"), F.explode("refs").alias("dst")).where("src <> '' AND src <> dst").distinct()
 
 
-def depends_on(edges: DataFrame, address: str, transitive: bool = False, rounds: int = 20) -> DataFrame:
-    """``dst``: what a resource depends on; with ``transitive`` over any number of steps (at most ``rounds``)."""
+def depends_on(edges: DataFrame, address: str, transitive: bool = False) -> DataFrame:
+    """``dst``: what a resource depends on; with ``transitive`` over any number of steps."""
     found = edges.where(F.col("src") == address).select("dst").distinct()
-    for _ in range(rounds if transitive else 0):
-        more = edges.join(found.select(F.col("dst").alias("src")), "src").select("dst").union(found).distinct()
-        if more.count() == found.count():
-            break
-        found = more
+    if not transitive:
+        return found
+    found = newest = cut(found)
+    while not newest.isEmpty():
+        newest = cut(edges.join(newest.select(F.col("dst").alias("src")), "src").select("dst").distinct().join(found, "dst", "left_anti"))
+        found = cut(found.union(newest))
     return found
 
 

@@ -81,3 +81,8 @@ def test_changes(spark):
     new = spark.createDataFrame([("a", 'resource "aws_vpc" "main" {\n  cidr_block = "10.0.0.0/8"\n  y = true\n}')], "id string, body string")
     got = {r.path.split(".")[-1]: (r.change, r.old_value, r.new_value) for r in hcl.attribute_changes(hcl.attributes(old, ["id"], "body"), hcl.attributes(new, ["id"], "body"), ["id"]).collect()}
     assert got == {"cidr_block": ("modified", '"10.0.0.0/16"', '"10.0.0.0/8"'), "x": ("removed", "1", None), "y": ("added", None, "true")}
+
+
+def test_depends_on_over_long_chains(spark):
+    edges = spark.createDataFrame([(f"a.r{i}", f"a.r{i + 1}") for i in range(25)] + [("a.r25", "a.r3")], "src string, dst string")
+    assert {r.dst for r in hcl.depends_on(edges, "a.r0", transitive=True).collect()} == {f"a.r{i}" for i in range(1, 26)}

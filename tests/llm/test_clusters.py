@@ -62,3 +62,43 @@ def test_edges(spark, mined):
     assert got["e"].cluster == got["f"].cluster and got["e"].size == 2 and got["c"].cluster == got["d"].cluster != got["e"].cluster
     assert C.cluster_messages(df.limit(0)).count() == 0
     assert C.similar_pairs(C.cluster_messages(df.limit(0))).count() == 0
+
+
+def small_vocabulary(n, seed=7):
+    """Texts over few words, each with one edited copy: (hash, message)."""
+    rng, out = random.Random(seed), []
+    for i in range(n // 2):
+        w = [rng.choice(WORDS[:60]) for _ in range(18)]
+        v = list(w)
+        v[rng.randrange(18)] = rng.choice(WORDS[:60])
+        out += [(f"{2 * i:040x}", " ".join(w)), (f"{2 * i + 1:040x}", " ".join(v))]
+    return out
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    rows = small_vocabulary(600) + [(f"s{i}", f"bump version {a} {b}") for i, (a, b) in enumerate(itertools.product(WORDS[:6], WORDS[6:12]))]
+    df = spark.createDataFrame(rows, "commit_hash string, message string")
+    forms = C.message_forms(df).where("grams IS NOT NULL").groupBy("form").agg(F.first("grams").alias("grams")).cache()
+    table = C.frequency_table(forms)
+    posts, nothing = C.prefixes(forms, C.SIMILARITY, table).cache(), spark.createDataFrame([], "form bigint, pivot bigint")
+    pairs = [{frozenset((r.form, r.low)) for r in C._late_edges(posts, nothing, forms, C.SIMILARITY, table, split).collect()} for split in (1 << 30, 3)]
+    grams = {r.form: set(r.grams) for r in forms.collect()}
+    near = {frozenset((a, b)) for a, b in itertools.combinations(grams, 2) if len(grams[a] & grams[b]) >= C.SIMILARITY * len(grams[a] | grams[b])}
+    assert pairs[0] == near and pairs[1] <= near
+    # Forms that share all they need meet the lowest one only, so split buckets may link them through it.
+    linked = dict.fromkeys(grams)
+    for start in grams:
+        if linked[start] is None:
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if linked[x] is None:
+                    linked[x] = start
+                    todo += [y for p in pairs[1] if x in p for y in p]
+    assert all(linked[a] == linked[b] for a, b in near)
+
+
+def test_pairs_of_large_clusters(spark):
+    labelled = spark.range(25).select(F.format_string("%02d", "id").alias("commit_hash"), F.lit(1).alias("cluster"), F.lit(25).cast("bigint").alias("size"), F.lit(100).alias("n_chars"))
+    got = [tuple(r) for r in C.similar_pairs(labelled, block=4).collect()]
+    assert sorted(got) == sorted(itertools.combinations([f"{i:02d}" for i in range(25)], 2))

@@ -461,19 +461,51 @@ def patch_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "mined_data").groupBy(diff.patch_kind(F.col("patch")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_FILE = ["repo", "commit_hash", "file"]
+_TF = "(SELECT DISTINCT repo, commit_hash, file, patch FROM mined_data WHERE file LIKE '%.tf' AND length(patch) > 0)"
+
+
+def _tf_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mined_data").where("file LIKE '%.tf' AND length(patch) > 0").select(*_FILE, "patch").distinct()
+
+
 def _attributes(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "mined_data").where("file LIKE '%.tf' AND length(patch) > 0").select("repo", "commit_hash", "file", "patch").distinct()
-    return hcl.attributes(files, ["repo", "commit_hash", "file"], "patch", fragment=True)
+    return hcl.attributes(_tf_files(spark, d), _FILE, "patch", "new")
 
 
 @_query()
 def hcl_attributes(spark: SparkSession, d: str) -> DataFrame:
-    return _attributes(spark, d).select("repo", "commit_hash", "file", "path", "value")
+    return _attributes(spark, d).select(*_FILE, "path", "value")
+
+
+@_query(f"SELECT count(*) AS n_files, count(*) AS n_known, 0 AS n_foreign, 0 AS n_lost FROM {_TF} t")
+def hcl_parse_check(spark: SparkSession, d: str) -> DataFrame:
+    """Files, files with a known status, attributes whose name their patch does not have, and files said to be whole that give nothing but hold an assignment."""
+    files = _tf_files(spark, d)
+    status = hcl.parse_status(files.withColumn("p", F.col("patch")), [*_FILE, "p"], "patch", "new")
+    one = status.agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("status").isin("empty", "whole", "partial", "failed")).alias("n_known"),
+        F.count_if((F.col("status") == "whole") & (F.col("n_attributes") == 0) & F.col("p").rlike(r'(?m)^[ +][ ]*[a-z_]+ *= *"[^"\n]*"$')).alias("n_lost"),
+    )
+    attrs = hcl.attributes(files.withColumn("p", F.col("patch")), ["p"], "patch", "new")
+    name = F.element_at(F.split("path", r"\."), -1)
+    foreign = attrs.agg(F.count_if(~F.contains(F.col("p"), name)).alias("n_foreign"))
+    return one.join(foreign, F.lit(True)).select("n_files", "n_known", F.col("n_foreign").cast("int").alias("n_foreign"), F.col("n_lost").cast("int").alias("n_lost"))
+
+
+@_query()
+def hcl_parse_status(spark: SparkSession, d: str) -> DataFrame:
+    return hcl.parse_status(_tf_files(spark, d), _FILE, "patch", "new").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("skipped").alias("skipped"), F.sum("n_attributes").alias("n_attributes"))
+
+
+@_query()
+def hcl_json(spark: SparkSession, d: str) -> DataFrame:
+    return hcl.to_json(_tf_files(spark, d), _FILE, "patch", "new")
 
 
 @_query()
 def hcl_resources(spark: SparkSession, d: str) -> DataFrame:
-    return hcl.resources(_attributes(spark, d), ["repo"])
+    return hcl.resources(_attributes(spark, d), ["repo"]).withColumn("for_each", F.to_json("for_each"))
 
 
 @_query()
@@ -486,14 +518,26 @@ def hcl_attribute_usage(spark: SparkSession, d: str) -> DataFrame:
     return hcl.attribute_usage(_attributes(spark, d))
 
 
+@_query()
+def hcl_dynamic_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return hcl.dynamic_blocks(_attributes(spark, d), ["repo"])
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    files = _tf_files(spark, d).where(F.col("patch").startswith("@@"))
+    return hcl.attributes(files, _FILE, "patch", "old"), hcl.attributes(files, _FILE, "patch", "new")
+
+
 @_query()
 def hcl_changes(spark: SparkSession, d: str) -> DataFrame:
     """Attribute changes of each changed file: the diff's old side against its new side."""
-    files = table(spark, d, "mined_data").where("file LIKE '%.tf' AND patch LIKE '@@%'").select("repo", "commit_hash", "file", "patch").distinct()
-    turned = files.withColumn("patch", F.regexp_replace(F.regexp_replace(F.regexp_replace("patch", r"(?m)^\+", "\u0001"), r"(?m)^-", "+"), "\u0001", "-"))
-    key = ["repo", "commit_hash", "file"]
-    one = lambda df: hcl.attributes(df, key, "patch", fragment=True).groupBy(*key, "path").agg(F.min("value").alias("value"))
-    return hcl.attribute_changes(one(turned), one(files), key)
+    old, new = (a.groupBy(*_FILE, "path").agg(F.min("value").alias("value")) for a in _sides(spark, d))
+    return hcl.attribute_changes(old, new, _FILE)
+
+
+@_query()
+def hcl_dependency_changes(spark: SparkSession, d: str) -> DataFrame:
+    return hcl.dependency_changes(*_sides(spark, d), _FILE)
 
 
 # ---- vectors, clusters, reports

@@ -30,6 +30,8 @@ MERGE_CONTENT = (
 FIX_KEYWORDS = ("fix", "bug", "issue", "resolve", "error", "failure", "incorrect")
 ISSUE = r"(\s|^)(#|GH-)\d+\b"
 URL = r"https?://\S+"
+#: A run of visible characters with an at sign inside: looked for at its start only, so long runs are read once.
+ADDRESS = r"(?<!\S)\S[^\s@]*+@\S+"
 
 
 def _u(pattern: str, unicode: bool) -> str:
@@ -148,7 +150,7 @@ def content_words(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
 def keyword_text(text: Column) -> Column:
     """English text ready for keyword extraction: no links, references, sign-offs, addresses or punctuation."""
     t = F.lower(text)
-    for rx in (URL, r"(\s|^)(#|gh-|issue-|jira-)\d+\b", r"(?:signed-off|co-authored)-by:.*?<.*?>", r"\S+@\S+", r"[^a-z0-9\-\s]"):
+    for rx in (URL, r"(\s|^)(#|gh-|issue-|jira-)\d+\b", r"(?:signed-off|co-authored)-by:.*?<.*?>", ADDRESS, r"[^a-z0-9\-\s]"):
         t = F.regexp_replace(t, rx, " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

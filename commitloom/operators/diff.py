@@ -2,15 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Lines of an Arrow batch that leaves :func:`diff_lines`.
+_OUT = 1 << 16
+
+
+def _number(texts: pa.Array) -> tuple[np.ndarray, pa.RecordBatch]:
+    """(row of each line, ``line_no, change, content, old_lineno, new_lineno``) of the lines of not empty patches, with whole-column kernels only."""
+    split = pc.split_pattern(texts, "\n")
+    per = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    lines = split.flatten()
+    row = np.repeat(np.arange(len(per)), per)
+    first = np.cumsum(per) - per
+    at = np.arange(len(lines))
 
+    def starts(prefix: str) -> np.ndarray:
+        return pc.starts_with(lines, prefix).to_numpy(zero_copy_only=False)
 
-def _lines(patch: Column) -> Column:
-    """``array<struct<no, line, hunk>>``: numbered lines with the position of their hunk's header (0 before the first)."""
-    lines = F.split(patch, "\n")
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("no"), line.alias("line")))
-    return numbered
+    header = starts("@@")
+    # The line of the last header up to each line; below the text's first line where there is none.
+    last = np.maximum.accumulate(np.where(header, at, -1)) if len(at) else at
+    inside = (last >= first[row]) & ~header
+    plus, minus = inside & starts("+"), inside & starts("-")
+    other = inside & ~plus & ~minus & ~starts("\\")
+    heads = lines.filter(pa.array(header))
+
+    def numbers(pattern: str, counted: np.ndarray) -> pa.Array:
+        """The header's number and the lines counted since."""
+        found = pc.struct_field(pc.extract_regex(heads, pattern), "n")
+        base = np.zeros(len(lines), dtype=np.int64)
+        base[header] = pc.fill_null(pc.cast(found, pa.int64()), 1).to_numpy(zero_copy_only=False) - 1
+        total = np.cumsum(counted)
+        safe = np.maximum(last, 0)
+        return pa.array(base[safe] + total - total[safe], mask=~counted).cast(pa.int32())
+
+    old, new = numbers(r"^@@ -(?P<n>\d{1,9})", minus | other), numbers(r"^@@ -\S+ \+(?P<n>\d{1,9})", plus | other)
+    change = pa.DictionaryArray.from_arrays(pa.array(np.where(plus, 0, np.where(minus, 1, 2)).astype(np.int8)), pa.array(["added", "removed", "other"])).cast(pa.string())
+    content = pc.if_else(pa.array(plus | minus | other), pc.utf8_slice_codeunits(lines, 1), lines)
+    number = pa.array((at - first[row] + 1).astype(np.int32))
+    return row, pa.RecordBatch.from_arrays([number, change, content, old, new], names=["line_no", "change", "content", "old_lineno", "new_lineno"])
 
 
 def diff_lines(df: DataFrame, patch: str = "patch", keep: list[str] | None = None) -> DataFrame:
@@ -18,56 +57,29 @@ def diff_lines(df: DataFrame, patch: str = "patch", keep: list[str] | None = Non
 
     ``change`` is added, removed or other; headers are other. Line numbers follow the
     hunk headers: removed lines have the old number, added lines the new one, context
-    lines both. Null and empty patches give no rows. Everything happens inside the row
-    of a patch (one running fold over its lines), so nothing is shuffled.
+    lines both. Null and empty patches give no rows. Line numbers are running sums within
+    a row, which no built-in expression forms in linear time; they are taken over whole
+    Arrow batches, so nothing is shuffled and a patch may have any number of lines.
     """
     kept = keep if keep is not None else [c for c in df.columns if c != patch]
-    start = F.struct(F.lit(0).alias("hunk"), F.lit(0).alias("o"), F.lit(0).alias("n"), F.array().cast("array<struct<line_no:int,change:string,content:string,old_lineno:int,new_lineno:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        line = x["line"]
-        header = line.startswith("@@")
-        inside = (acc["hunk"] > 0) & ~header
-        plus, minus = inside & line.startswith("+"), inside & line.startswith("-")
-        other = inside & ~plus & ~minus & ~line.startswith("\\")
-        o = F.when(header, F.coalesce(F.nullif(F.regexp_extract(line, r"^@@ -(\d+)", 1), F.lit("")).cast("int"), F.lit(1)) - 1).otherwise(acc["o"] + F.when(minus | other, 1).otherwise(0))
-        n = F.when(header, F.coalesce(F.nullif(F.regexp_extract(line, r"^@@ -\S+ \+(\d+)", 1), F.lit("")).cast("int"), F.lit(1)) - 1).otherwise(acc["n"] + F.when(plus | other, 1).otherwise(0))
-        row = F.struct(
-            x["no"].cast("int").alias("line_no"), F.when(plus, "added").when(minus, "removed").otherwise("other").alias("change"),
-            F.when(plus | minus | other, F.substring(line, F.lit(2), F.length(line))).otherwise(line).alias("content"),
-            F.when(minus | other, o).cast("int").alias("old_lineno"), F.when(plus | other, n).cast("int").alias("new_lineno"),
-        )
-        return F.struct(F.when(header, x["no"].cast("int")).otherwise(acc["hunk"]).alias("hunk"), o.cast("int").alias("o"), n.cast("int").alias("n"), F.array_append(acc["out"], row).alias("out"))
-
-    folded = F.aggregate(_lines(F.col(patch)), start, step)["out"]
-    rows = df.where(F.coalesce(F.length(patch), F.lit(0)) > 0).select(*kept, F.explode(folded).alias("__l"))
-    return rows.select(*kept, "__l.*")
-
-
-def diff_lines_scaled(df: DataFrame, key: list[str], patch: str = "patch") -> DataFrame:
-    """As :func:`diff_lines` for patches of any length: lines are exploded first and numbered by window.
-
-    Use it where single patches are huge; it sorts the lines of each ``key``.
-    """
-    lines = df.where(F.coalesce(F.length(patch), F.lit(0)) > 0).select(*key, F.posexplode(F.split(patch, "\n")).alias("pos", "line"))
-    w = Window.partitionBy(*key).orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    header = F.col("line").startswith("@@")
-    lines = lines.withColumn("hunk", F.sum(header.cast("int")).over(run))
-    inside = (F.col("hunk") > 0) & ~header
-    plus, minus = inside & F.col("line").startswith("+"), inside & F.col("line").startswith("-")
-    other = inside & ~plus & ~minus & ~F.col("line").startswith("\\")
-    in_hunk = Window.partitionBy(*key, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    first = Window.partitionBy(*key, "hunk")
-    old0 = F.max(F.when(header, F.nullif(F.regexp_extract("line", r"^@@ -(\d+)", 1), F.lit("")).cast("int"))).over(first)
-    new0 = F.max(F.when(header, F.nullif(F.regexp_extract("line", r"^@@ -\S+ \+(\d+)", 1), F.lit("")).cast("int"))).over(first)
-    o = F.coalesce(old0, F.lit(1)) - 1 + F.sum((minus | other).cast("int")).over(in_hunk)
-    n = F.coalesce(new0, F.lit(1)) - 1 + F.sum((plus | other).cast("int")).over(in_hunk)
-    return lines.select(
-        *key, (F.col("pos") + 1).alias("line_no"), F.when(plus, "added").when(minus, "removed").otherwise("other").alias("change"),
-        F.when(plus | minus | other, F.substring("line", F.lit(2), F.length("line"))).otherwise(F.col("line")).alias("content"),
-        F.when(minus | other, o).cast("int").alias("old_lineno"), F.when(plus | other, n).cast("int").alias("new_lineno"),
-    )
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(batch.num_columns - 1)
+            row, rows = _number(texts.cast(pa.large_string()))
+            rows = rows.set_column(2, "content", rows.column(2).cast(pa.large_string()))
+            for i in range(0, rows.num_rows, _OUT):
+                part = rows.slice(i, _OUT)
+                own = batch.select(list(range(batch.num_columns - 1))).take(pa.array(row[i : i + _OUT]))
+                columns = [part.column(k).cast(pa.string()) if k == 2 else part.column(k) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*kept, *rows.schema.names])
+
+    by_name = {f.name: f for f in df.schema.fields}
+    out = T.StructType([*(by_name[k] for k in kept), *T.StructType.fromDDL("line_no int, change string, content string, old_lineno int, new_lineno int").fields])
+    rows = df.where(F.coalesce(F.length(patch), F.lit(0)) > 0).select(*kept, F.col(patch).alias("__patch"))
+    return rows.mapInArrow(run, out)
 
 
 def enrich(lines: DataFrame) -> DataFrame:

@@ -21,17 +21,24 @@ def with_order(df: DataFrame) -> DataFrame:
     return df.withColumn("ord", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("pos")))
 
 
+def content_order(*columns: str) -> Column:
+    """A short order that depends on the columns' values only: the first one, then a digest of all."""
+    own = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    return F.struct(own[0].alias("first"), F.md5(F.concat_ws("|", *[F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in own])).alias("digest"))
+
+
 def fold_commits(records: DataFrame, order: Column) -> DataFrame:
     """One row a commit of ``repo, commit_hash, author, date, message, file, patch`` records.
 
     Scalars come from the commit's first record in ``order``, modifications are all its
-    records in that order. Rows without a repository or hash are left out. The state of
-    a commit is one partial aggregate a partition; a commit's size is bounded by its files.
+    records in that order; keep ``order`` short, as it travels with both. Rows without a
+    repository or hash are left out. The state of a commit is one partial aggregate a
+    partition; a commit's size is bounded by its files.
     """
     rows = required(records, "repo", "commit_hash").withColumn("__o", order)
-    first = {c: F.min_by(c, "__o") for c in ("author", "date", "message")}
+    first = F.min_by(F.struct("author", "date", "message"), "__o").alias("__f")
     mods = F.array_sort(F.collect_list(F.struct(F.col("__o").alias("ord"), F.col("file").alias("filename"), F.col("patch").alias("diff"))))
-    out = rows.groupBy("repo", "commit_hash").agg(*[v.alias(k) for k, v in first.items()], mods.alias("__m"))
+    out = rows.groupBy("repo", "commit_hash").agg(first, mods.alias("__m")).select("repo", "commit_hash", "__f.*", "__m")
     cleaned = text.clean_message_semantic(F.col("message"))
     return out.select(
         F.col("repo").alias("repo_name"), "commit_hash", F.col("message").alias("msg_original"), cleaned.alias("msg_clean"), F.col("author").alias("author_name"),

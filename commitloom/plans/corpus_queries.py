@@ -137,11 +137,13 @@ def clone_directories(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- commits
 
-_ORD = "(coalesce(file, ''), coalesce(patch, ''), coalesce(message, ''), coalesce(date, ''), coalesce(author, ''))"
+_FIELDS = ("file", "patch", "message", "date", "author")
+_DIGEST = "md5(" + " || '|' || ".join(f"length(coalesce({c}, ''))::VARCHAR || ':' || coalesce({c}, '')" for c in _FIELDS) + ")"
+_ORD = f"(coalesce(file, ''), {_DIGEST})"
 
 
 def _order() -> Column:
-    return F.struct(*[F.coalesce(c, F.lit("")) for c in ("file", "patch", "message", "date", "author")])
+    return fold.content_order(*_FIELDS)
 
 
 _RANK = "CASE lower(regexp_extract(string_split(coalesce(file, ''), '/')[-1], '^.+(\\.[^.]*)$', 1)) " + " ".join(f"WHEN '{e}' THEN {i + 1}" for i, e in enumerate(paths.EXTENSION_ORDER)) + " ELSE 99 END"
@@ -160,7 +162,7 @@ def fold_commits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY {_RANK}, coalesce(file, ''), coalesce(patch, ''), coalesce(message, ''), coalesce(date, ''), coalesce(author, '')) AS rn FROM {_KEYED})
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY {_RANK}, coalesce(file, ''), {_DIGEST}) AS rn FROM {_KEYED})
     SELECT repo AS repo_name, commit_hash, CASE WHEN coalesce(patch, '') <> '' THEN file END AS file,
         CASE WHEN coalesce(patch, '') <> '' THEN array_to_string(string_split(patch, chr(10))[1:10], chr(10)) ELSE '' END AS excerpt FROM r WHERE rn = 1""")
 def best_modification(spark: SparkSession, d: str) -> DataFrame:

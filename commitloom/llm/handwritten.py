@@ -1,9 +1,10 @@
 """Telling hand-written source files from generated, minified, vendored ones and data blobs.
 
 Repositories say in ``.gitattributes`` files which paths are generated or vendored.
-Those files are parsed, their globs resolved with git's precedence (deeper files win,
-later lines win), and applied to the repositories that have them. From all files that
-attributes or their own content decide, path patterns that hold elsewhere too are
+The current text of each such file is put together from its changes, its globs are
+resolved with git's precedence (deeper files win, later lines win), and applied to the
+repositories that have them. Path patterns that nearly always are generated or vendored,
+in the repositories that declare or among all files whose content decides, are
 mined, and applied with a list of conventional ones to the repositories that declare
 nothing. Content evidence (generator and copy notices, minified lines, embedded data,
 text equal to the same path of another repository) covers what paths cannot tell.
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.instants import to_instant
 from ..lineage import cut
 
 # Path conventions that public repositories commonly declare in
@@ -44,8 +46,9 @@ GENERATOR_NOTICES = (
     r"arquivo gerado automaticamente\b",
     r"archivo generado (?:automáticamente )?por \S.{0,80}no modificar",
     r"fichier généré automatiquement\b",
-    r"~~~ output of \S+ build \d+, regenerate with\b",
-    r"rendered from \S+ by \S.{0,80}edit the template",
+    # any tool's words for what it did, and then for what to do instead of editing
+    r"[^\w\n]{0,8}(?:output|rendered|generated|compiled|produced|built|exported|created|written)\b.{0,60}\b(?:of|from|by|with|using)\b.{0,120}"
+    r"\b(?:do(?: not|n't) (?:edit|modify|change)|(?:edit|change|modify) the (?:template|source|original|input)|re-?generate|re-?run|(?:lost|overwritten) (?:on|by|when|with)|will be (?:lost|overwritten))",
 )
 #: Notices of copies, each naming the repository it comes from as its first group.
 COPY_NOTICES = (
@@ -62,7 +65,8 @@ GENERATOR = "(?iu)" + _COMMENT + "(?:" + "|".join(GENERATOR_NOTICES) + ")"
 COPY = "(?iu)" + _COMMENT + "(?:" + "|".join(COPY_NOTICES) + ")"
 #: Literals of this many characters, or arrays of this many numbers, are data and not code.
 BLOB_CHARS, BLOB_NUMBERS = 240, 40
-BLOB = rf"[\"'](?:[A-Za-z0-9+/]{{{BLOB_CHARS},}}={{0,2}}|[0-9a-fA-F]{{{BLOB_CHARS},}})[\"']|\[(?:\s*-?\d+(?:\.\d+)?\s*,){{{BLOB_NUMBERS - 1},}}\s*-?\d"
+_NUMBER = r"[-+]?\s*+-?(?:0[xX][0-9a-fA-F]++|\d++(?:\.\d++)?(?:[eE][-+]?\d++)?)[uUlLfF]{0,3}\s*+,\s*+"  # over diff columns too
+BLOB = rf"[\"'](?:[A-Za-z0-9+/]{{{BLOB_CHARS},}}={{0,2}}|[0-9a-fA-F]{{{BLOB_CHARS},}})[\"']|[\[{{(]\s*+(?:{_NUMBER}){{{BLOB_NUMBERS - 1},}}"
 #: A minified line: this long, with less than this share of white space.
 MINIFIED_CHARS, MINIFIED_SPACE = 160, 0.1
 MINIFIED_FILE = r"\.(?:js|mjs|cjs|css|html?)$"
@@ -122,19 +126,13 @@ def glob_regex(pattern: str, directory: str) -> str | None:
 
 
 def parse_attributes(text: str, directory: str) -> list[tuple[str, bool | None]]:
-    """(regex, value) of the linguist lines of an attributes file's content or diff, in order.
+    """(regex, value) of the linguist lines of an attributes file, in order.
 
     ``x``, ``x=true`` give True, ``-x``, ``x=false`` False, ``!x`` None (undeclared
-    again). In a diff, removed lines are skipped. Quoted patterns are unquoted.
+    again). Quoted patterns are unquoted.
     """
-    lines = re.split(r"\r\n|\n|\r", text or "")
-    diff = any(x.startswith("@@") for x in lines)
     out = []
-    for line in lines:
-        if diff:
-            if line.startswith(("@@", "-", "\\")):
-                continue
-            line = line[1:]
+    for line in re.split(r"\r\n|\n|\r", text or ""):
         line = line.strip()
         m = re.match(r'"((?:[^"\\]|\\.)*)"\s+(.*)$', line) or re.match(r"(\S+)\s+(.*)$", line)
         if not m or line.startswith("#"):
@@ -147,17 +145,59 @@ def parse_attributes(text: str, directory: str) -> list[tuple[str, bool | None]]
     return out
 
 
+def apply_patch(lines: list[str], patch: str) -> list[str]:
+    """The lines of a small file after a diff, or those of ``patch`` itself if it is no diff.
+
+    A hunk replaces the place where its old lines stand. If they stand nowhere (the
+    history has gaps), its removed lines go wherever they are, and its other lines are added.
+    """
+    rows = re.split(r"\r\n|\n|\r", patch)
+    if not any(r.startswith("@@") for r in rows):
+        return rows
+    hunks: list[list[str]] = []
+    for r in rows:
+        if r.startswith("@@"):
+            hunks.append([])
+        elif hunks and not r.startswith("\\"):
+            hunks[-1].append(r)
+    at = 0
+    for hunk in hunks:
+        hunk = hunk[:-1] if hunk and hunk[-1] == "" else hunk
+        old = [r[1:] for r in hunk if not r.startswith("+")]
+        new = [r[1:] for r in hunk if not r.startswith("-")]
+        place = next((i for i in (*range(at, len(lines) - len(old) + 1), *range(min(at, len(lines) - len(old) + 1))) if lines[i : i + len(old)] == old), None) if old else None
+        if place is not None:
+            lines = lines[:place] + new + lines[place + len(old) :]
+            at = place + len(new)
+        else:
+            gone = {r[1:] for r in hunk if r.startswith("-")}
+            lines = [x for x in lines if x not in gone]
+            lines += [x for x in new if x not in lines]
+            at = len(lines)
+    return lines
+
+
 def _rules_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One repository's attribute files as ordered rules: shallow directories first, then arrival."""
-    rows = sorted(zip(pdf["path"], pdf["ts"].fillna(""), pdf["patch"]), key=lambda r: (r[0].count("/"), r[0], r[1]))
-    rules = [r for path, _, patch in rows for r in parse_attributes(patch, path.rpartition("/")[0])]
+    """One repository's attribute files, as they stand after all changes, as ordered rules: shallow directories first."""
+    rules = []
+    for path in sorted(pdf["path"].unique(), key=lambda p: (p.count("/"), p)):
+        own = pdf[pdf["path"] == path].sort_values(["ts", "commit_hash", "patch"], na_position="first", kind="stable")
+        lines: list[str] = []
+        for patch in own["patch"]:
+            lines = apply_patch(lines, patch)
+        rules += parse_attributes("\n".join(lines), path.rpartition("/")[0])
     return pd.DataFrame({"repo": [pdf["repo"].iloc[0]], "rx": [[r[0] for r in rules]], "on": [[{True: 1, False: 0, None: -1}[r[1]] for r in rules]]})
 
 
 def attribute_rules(mined: DataFrame) -> DataFrame:
-    """``repo, rx array<string>, on array<int>``: one row per repository with attribute files, rules in rising precedence."""
-    own = mined.where(F.col("repo").isNotNull() & (F.col("repo") != "") & F.col("file").rlike(r"(?:^|[/\\])\.gitattributes$"))
-    own = own.select("repo", normal_path(F.col("file")).alias("path"), F.col("date").cast("string").alias("ts"), "patch")
+    """``repo, rx array<string>, on array<int>``: one row per repository with attribute files, rules in rising precedence.
+
+    Changes apply in the order of their instants (those without one first); repeated
+    records apply once.
+    """
+    own = mined.where(F.col("repo").isNotNull() & (F.col("repo") != "") & F.col("file").rlike(r"(?:^|[/\\])\.gitattributes$") & F.col("patch").isNotNull())
+    own = own.select("repo", normal_path(F.col("file")).alias("path"), "commit_hash", F.unix_micros(to_instant(F.col("date").cast("string"))).alias("ts"), "patch")
+    own = own.groupBy("repo", "path", "commit_hash", "patch").agg(F.min("ts").alias("ts"))
     return own.groupBy("repo").applyInPandas(_rules_of, "repo string, rx array<string>, on array<int>")
 
 
@@ -191,21 +231,20 @@ def _content_evidence(mined: DataFrame) -> DataFrame:
     source = F.regexp_extract("patch", COPY, 0)
     origin = F.lower(F.regexp_extract(source, r"(?i)(?:from|de|origin:) ([\w.-]+/[\w.-]+)", 1))
     own = F.lower(F.regexp_replace(F.replace(F.coalesce("repo", F.lit("")), F.lit("_"), F.lit("/")), r"/[0-9a-f]{8}$", ""))
-    long_file = F.length("patch") >= 200
     return mined.select(
         F.nullif(F.col("repo"), F.lit("")).alias("rid"), "repo", "commit_hash", "file", path.alias("path"),
         F.coalesce(F.col("patch").rlike(GENERATOR), F.lit(False)).alias("noted"),
         (F.coalesce((origin != "") & (F.regexp_replace(origin, r"\.+$", "") != own), F.lit(False))).alias("copied"),
-        F.coalesce(long_file & F.col("patch").rlike(BLOB), F.lit(False)).alias("blob"),
+        F.coalesce(F.col("patch").rlike(BLOB), F.lit(False)).alias("blob"),
         F.when(F.lower(path).rlike(MINIFIED_FILE), F.coalesce(F.exists(F.split("patch", "\n"), _dense), F.lit(False))).otherwise(False).alias("minified"),
         F.when(F.col("patch").rlike(r"\S"), F.xxhash64(F.regexp_replace("patch", r"\r\n?", "\n"))).alias("digest"),
     )
 
 
 def _copies_of_other_repositories(files: DataFrame) -> DataFrame:
-    """Distinct (rid, path), rid empty for rows without a repository, of files whose path embeds another repository's name above a path that repository has with equal text.
+    """Distinct (rid, path, digest) of files whose path embeds another repository's name above a path that repository has with equal text.
 
-    The embedded name is a directory ``name``, ``owner/name`` or ``owner-name-version``;
+    ``digest`` is null but for rows without a repository, whose ``rid`` is empty. The embedded name is a directory ``name``, ``owner/name`` or ``owner-name-version``;
     the part below it is looked up there by digest and a hash of (name, path).
     """
     texts = files.where(F.col("path").isNotNull() & F.col("digest").isNotNull()).select(F.coalesce("rid", F.lit("")).alias("rid"), "path", "digest").distinct()
@@ -219,24 +258,33 @@ def _copies_of_other_repositories(files: DataFrame) -> DataFrame:
     own = texts.where("rid <> ''").select("rid", "path", "digest", F.explode(names).alias("name"))
     # One row a place and text, however many repositories of that name (forks, say) have it.
     originals = own.groupBy("digest", F.xxhash64("name", "path").alias("place")).agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
-    return claims.join(originals, ["digest", "place"]).where((F.col("low") != F.col("rid")) | (F.col("high") != F.col("rid"))).select("rid", "path").distinct()
+    return claims.join(originals, ["digest", "place"]).where((F.col("low") != F.col("rid")) | (F.col("high") != F.col("rid"))).select("rid", "path", F.when(F.col("rid") == "", F.col("digest")).alias("digest")).distinct()
+
+
+def _features(low: Column) -> Column:
+    """What patterns are mined of: base name, compound suffix and directories of a lower-case path."""
+    name = F.element_at(F.split(low, "/"), -1)
+    dirs = F.transform(F.array_distinct(F.array_remove(F.split(F.regexp_extract(low, r"^(.*)/[^/]*$", 1), "/"), "")), lambda x: F.concat(F.lit("D:"), x))
+    suffix = F.regexp_extract(name, r"(\.[a-z0-9_]{2,12}\.[a-z0-9]{1,8})$", 1)
+    return F.concat(F.array(F.concat(F.lit("B:"), name)), F.when(suffix != "", F.array(F.concat(F.lit("S:"), suffix))).otherwise(F.array().cast("array<string>")), dirs)
 
 
 def _mined_patterns(decided: DataFrame) -> DataFrame:
     """``pattern`` of base names, compound suffixes and directories that decided files support.
 
-    decided: distinct ``rid, path, machine`` (not null). A pattern counts repositories,
-    files and precision over all of them; directories above 3 levels take part too.
+    decided: distinct ``rid, path, machine, declares`` (not null). A pattern needs enough
+    repositories, files and precision: among the repositories that declare, where an
+    undeclared file is written by hand, or among all files, where one without evidence
+    counts against it.
     """
-    low = F.lower("path")
-    name = F.element_at(F.split(low, "/"), -1)
-    dirs = F.transform(F.array_distinct(F.array_remove(F.split(F.regexp_extract(low, r"^(.*)/[^/]*$", 1), "/"), "")), lambda x: F.concat(F.lit("D:"), x))
-    suffix = F.regexp_extract(name, r"(\.[a-z0-9_]{2,12}\.[a-z0-9]{1,8})$", 1)
-    feats = F.concat(F.array(F.concat(F.lit("B:"), name)), F.when(suffix != "", F.array(F.concat(F.lit("S:"), suffix))).otherwise(F.array().cast("array<string>")), dirs)
-    each = decided.select("rid", F.col("machine").cast("int").alias("m"), F.explode(feats).alias("pattern"))
-    per = each.groupBy("pattern", "rid").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"))
-    per = per.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count(F.when(F.col("m") > 0, 1)).alias("repos"))
-    return per.where((F.col("repos") >= MIN_REPOS) & (F.col("n") >= MIN_FILES) & (F.col("m") >= MIN_PRECISION * F.col("n"))).select("pattern")
+    each = decided.select("rid", "declares", F.col("machine").cast("int").alias("m"), F.explode(_features(F.lower("path"))).alias("pattern"))
+    per = each.groupBy("pattern", "rid").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), F.max("declares").alias("declares"))
+
+    def supported(own: Column) -> Column:
+        n, m = F.sum(F.when(own, F.col("n"))), F.sum(F.when(own, F.col("m")))
+        return F.coalesce((F.count_if(own & (F.col("m") > 0)) >= MIN_REPOS) & (n >= MIN_FILES) & (m >= MIN_PRECISION * n), F.lit(False))
+
+    return per.groupBy("pattern").agg((supported(F.col("declares")) | supported(F.lit(True))).alias("ok")).where("ok").select("pattern")
 
 
 def classify_files(mined: DataFrame) -> DataFrame:
@@ -244,8 +292,8 @@ def classify_files(mined: DataFrame) -> DataFrame:
 
     mined: ``repo, commit_hash, file, date, patch``. Reasons, the first that holds:
     ``declared`` by attributes, ``path``, ``notice``, ``copy``, ``minified``, ``blob``,
-    ``mined``. A declaration that a path is not generated or vendored wins over paths
-    and mined patterns. Evidence in one record holds for all records of that file in
+    ``mined`` (in repositories without attribute files). A declaration that a path is not
+    generated or vendored wins over paths. Evidence in one record holds for all records of that file in
     its repository; records without a repository or file stand for themselves. Null
     or empty patches leave the path to decide, a null file is never a case unless
     its text says so. Repeated keys give one row; empty tables none. Texts
@@ -256,26 +304,27 @@ def classify_files(mined: DataFrame) -> DataFrame:
     flags = ["noted", "copied", "blob", "minified"]
     files = grouped.groupBy("rid", "path").agg(*[F.max(f).alias(f) for f in flags])
     copies = cut(_copies_of_other_repositories(rows))
-    files = files.join(copies.withColumn("embedded", F.lit(True)), ["rid", "path"], "left")
+    files = files.join(copies.where("rid <> ''").select("rid", "path", F.lit(True).alias("embedded")), ["rid", "path"], "left")
     rule = F.pandas_udf(declared_by_rules, "boolean")
     rules = attribute_rules(mined)
-    known = files.join(rules.withColumnRenamed("repo", "rid"), "rid", "left").withColumn("declared", F.when(F.col("rx").isNotNull(), rule("path", "rx", "on"))).drop("rx", "on")
+    declares = F.col("rx").isNotNull()
+    known = files.join(rules.withColumnRenamed("repo", "rid"), "rid", "left").withColumn("declared", F.when(declares, rule("path", "rx", "on"))).withColumn("declares", declares).drop("rx", "on")
     content = F.col("noted") | F.col("copied") | F.col("blob") | F.col("minified") | F.coalesce("embedded", F.lit(False))
     known = cut(known.withColumn("conventional", conventional(F.lower("path"))).withColumn("machine", F.coalesce("declared", content | F.col("conventional"))))
-    patterns = _mined_patterns(known.select("rid", "path", "machine"))
-    low = F.lower("path")
-    keyed = known.where(~F.col("machine") & F.col("declared").isNull()).select(
-        "rid", "path", F.explode(F.concat(F.array(F.concat(F.lit("B:"), F.element_at(F.split(low, "/"), -1)), F.concat(F.lit("S:"), F.regexp_extract(low, r"(\.[a-z0-9_]{2,12}\.[a-z0-9]{1,8})$", 1))), F.transform(F.split(F.regexp_extract(low, r"^(.*)/[^/]*$", 1), "/"), lambda x: F.concat(F.lit("D:"), x)))).alias("pattern")
-    )
+    patterns = _mined_patterns(known.select("rid", "path", "machine", "declares"))
+    keyed = known.where(~F.col("machine") & ~F.col("declares")).select("rid", "path", F.explode(_features(F.lower("path"))).alias("pattern"))
     by_pattern = keyed.join(patterns, "pattern", "left_semi").select("rid", "path").distinct().withColumn("mined", F.lit(True))
     verdict = known.join(by_pattern, ["rid", "path"], "left").select(
         "rid", "path",
         F.when(F.col("declared"), "declared").when(F.col("conventional") & F.col("declared").isNull(), "path").when(F.col("noted"), "notice")
-        .when(F.col("copied") | F.col("embedded"), "copy").when(F.col("minified"), "minified").when(F.col("blob"), "blob").when(F.col("mined"), "mined").alias("file_reason"),
+        .when(F.col("copied") | F.col("embedded"), "copy").when(F.col("minified"), "minified").when(F.col("blob"), "blob").when(F.col("mined"), "mined").alias("reason"),
     )
-    alone = (
+    key = ["repo", "commit_hash", "file"]
+    owned = grouped.join(verdict, ["rid", "path"]).select(*key, "reason")
+    # Rows without a repository or file stand for themselves, and meet copies by their text.
+    alone = rows.where(F.col("rid").isNull() | F.col("path").isNull())
+    unowned = alone.join(copies.where("rid = ''").select("path", "digest", F.lit(True).alias("unowned")), ["path", "digest"], "left")
+    reason = (
         F.when(conventional(F.lower("path")), "path").when(F.col("noted"), "notice").when(F.col("copied") | F.col("unowned"), "copy").when(F.col("minified"), "minified").when(F.col("blob"), "blob")
     )
-    rows = rows.join(copies.where("rid = ''").select("path", F.lit(True).alias("unowned")), "path", "left")
-    out = rows.join(verdict, ["rid", "path"], "left").withColumn("reason", F.when(F.col("rid").isNotNull() & F.col("path").isNotNull(), F.col("file_reason")).otherwise(alone))
-    return out.groupBy("repo", "commit_hash", "file").agg(F.min("reason").alias("reason"))
+    return owned.unionByName(unowned.select(*key, reason.alias("reason"))).groupBy(*key).agg(F.min("reason").alias("reason"))

@@ -33,6 +33,10 @@ def test_reasons(mined):
         ("o_a_00000001", "s/app.js", JS, "minified"),
         ("o_a_00000001", "s/hand.js", "const a = require('b');\n" * 30, None),
         ("o_a_00000001", "b.tf", 'locals {\n  x = "' + "aB3/" * 80 + '"\n}', "blob"),
+        ("o_a_00000001", "bytes.py", "@@ -0,0 +1,9 @@\n+KEY = [\n" + "+    0x4b, 0x15, 0x9b, 0x2d, 0xfb,\n" * 9 + "+]", "blob"),
+        ("o_a_00000001", "few.py", "PORTS = [" + "80, 443, " * 12 + "]", None),
+        ("o_a_00000001", "n5.tf", "# == rendered from net.tmpl by stack-tool, edit the template instead", "notice"),
+        ("o_a_00000001", "n6.tf", "# rendered from net.tmpl by stack-tool", None),
         ("o_a_00000001", "p.tf", "  policy = jsonencode({Action=[" + '"a:B",' * 60 + "]})", None),
         ("p_b_00000002", "libs/a/src/main.tf", CODE, "copy"),  # the file of o/a
         ("p_b_00000002", "modules/o/a/src/main.tf", CODE, "copy"),
@@ -66,6 +70,42 @@ def test_attributes_and_mining(mined):
     assert reasons(mined([r for r in rows if r["repo"] != "new"] + [{"repo": f"w{i}", "commit_hash": "c", "file": "d/zz.lst", "patch": "# Code generated by t. DO NOT EDIT."} for i in range(40)] + [{"repo": "new", "commit_hash": "c", "file": "any/zz.lst", "patch": "hand"}]))[("new", "any/zz.lst")] == "mined"
 
 
+def test_attribute_files_change(mined):
+    """Rules are those of the file's last state by instants, whatever the order of rows and the style of dates."""
+    rows = [
+        {"repo": "r", "commit_hash": "c3", "date": "2024-03-01T10:00:00+02:00", "file": ".gitattributes", "patch": "@@ -1,3 +1,2 @@\n *.snap linguist-generated\n-gen/** linguist-generated\n docs/** linguist-vendored\n"},
+        {"repo": "r", "commit_hash": "c1", "date": "Mon Jan 1 08:00:00 2024 +0000", "file": ".gitattributes", "patch": "@@ -0,0 +1,2 @@\n+*.snap linguist-generated\n+gen/** linguist-generated\n"},
+        {"repo": "r", "commit_hash": "c2", "date": "2024-02-01 23:00:00 -0500", "file": ".gitattributes", "patch": "@@ -2 +2,2 @@\n gen/** linguist-generated\n+docs/** linguist-vendored\n"},
+        {"repo": "r", "commit_hash": "c1", "date": "2024-01-01T09:00:00+01:00", "file": ".gitattributes", "patch": "@@ -0,0 +1,2 @@\n+*.snap linguist-generated\n+gen/** linguist-generated\n"},
+        {"repo": "gone", "commit_hash": "d1", "date": "2024-01-01T00:00:00Z", "file": "sub/.gitattributes", "patch": "*.x linguist-generated"},
+        {"repo": "gone", "commit_hash": "d2", "date": "2024-01-02T00:00:00Z", "file": "sub/.gitattributes", "patch": "@@ -1 +0,0 @@\n-*.x linguist-generated"},
+    ]
+    rows += [{"repo": r, "commit_hash": "c", "file": f, "patch": "x"} for r, f in (("r", "a.snap"), ("r", "gen/a"), ("r", "docs/a"), ("gone", "sub/a.x"))]
+    got = reasons(mined(rows))
+    assert [got[k] for k in (("r", "a.snap"), ("r", "gen/a"), ("r", "docs/a"), ("gone", "sub/a.x"))] == ["declared", None, "declared", None]
+
+
+def test_patches_apply():
+    assert H.apply_patch(["a", "b", "c"], "@@ -2,1 +2,2 @@\n-b\n+B\n+b2\n") == ["a", "B", "b2", "c"]
+    assert H.apply_patch(["a"], "@@ -9 +9 @@\n-zz\n+new\n@@ -20 +20 @@\n ctx\n") == ["a", "new", "ctx"]
+    assert H.apply_patch(["a", "b"], "@@ -1,2 +0,0 @@\n-a\n-b\n\\ No newline") == [] and H.apply_patch(["a"], "b\nc") == ["b", "c"]
+
+
+def test_patterns_of_declaring_repositories_serve_the_others(mined):
+    """300 repositories, two thirds of them with attribute files: what those declare is found in the rest."""
+    rows = []
+    for i in range(300):
+        r = f"o_r{i}_{i:08x}"
+        if i % 3:
+            rows.append({"repo": r, "commit_hash": "c", "date": "2024-01-01T00:00:00Z", "file": ".gitattributes", "patch": "@@ -0,0 +1,3 @@\n+*.snap.txt linguist-generated\n+autogen/** linguist-generated\n+foreign/** linguist-vendored\n"})
+        made = (f"t{i}/a.snap.txt", f"autogen/k{i}.tf", f"x/foreign/k{i}.py") if i % 3 == 0 else (f"t{i}/a.snap.txt", f"autogen/k{i}.tf", f"foreign/k{i}.py")
+        rows += [{"repo": r, "commit_hash": "c", "file": f, "patch": "x"} for f in (*made, f"t{i}/a.txt", f"src/k{i}.tf", "main.tf")]
+    got = reasons(mined(rows))
+    count = {why: sum(v == why for v in got.values()) for why in ("declared", "mined", None)}
+    assert count == {"declared": 600, "mined": 300, None: 900 + 200}
+    assert all((v == "mined") == ("snap" in f or "autogen" in f or "foreign" in f) for (r, f), v in got.items() if int(r.split("_")[1][1:]) % 3 == 0)
+
+
 @pytest.mark.parametrize("pattern, directory, path, hit", [
     ("*.js", "", "a/b.js", True), ("*.js", "d", "b.js", False), ("/x.js", "", "x.js", True), ("/x.js", "", "a/x.js", False), ("a/*.c", "", "a/b/x.c", False), ("a/**/x.c", "", "a/x.c", True),
     ("a/**", "", "a/b/c", True), ("**/t", "", "q/t", True), ("f?o", "", "d/fxo", True), ("[ab].c", "", "b.c", True), ("[!ab].c", "", "b.c", False), ("d/", "", "d/x", False), ("a.b", "", "axb", False),

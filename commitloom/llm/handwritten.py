@@ -65,8 +65,10 @@ GENERATOR = "(?iu)" + _COMMENT + "(?:" + "|".join(GENERATOR_NOTICES) + ")"
 COPY = "(?iu)" + _COMMENT + "(?:" + "|".join(COPY_NOTICES) + ")"
 #: Literals of this many characters, or arrays of this many numbers, are data and not code.
 BLOB_CHARS, BLOB_NUMBERS = 240, 40
-_NUMBER = r"[-+]?\s*+-?(?:0[xX][0-9a-fA-F]++|\d++(?:\.\d++)?(?:[eE][-+]?\d++)?)[uUlLfF]{0,3}\s*+,\s*+"  # over diff columns too
-BLOB = rf"[\"'](?:[A-Za-z0-9+/]{{{BLOB_CHARS},}}={{0,2}}|[0-9a-fA-F]{{{BLOB_CHARS},}})[\"']|[\[{{(]\s*+(?:{_NUMBER}){{{BLOB_NUMBERS - 1},}}"
+BLOB = rf"[\"'](?:[A-Za-z0-9+/]{{{BLOB_CHARS},}}={{0,2}}|[0-9a-fA-F]{{{BLOB_CHARS},}})[\"']"
+#: Runs of characters that arrays of numbers consist of, diff columns among them (no repeated groups, which need a stack as deep as the text is long).
+ARRAY = rf"[\[({{]([\s0-9a-fA-FxXuUlL.,+-]{{{2 * BLOB_NUMBERS - 2},}})"
+NUMBER = r"(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]{0,3}\s*,"
 #: A minified line: this long, with less than this share of white space.
 MINIFIED_CHARS, MINIFIED_SPACE = 160, 0.1
 MINIFIED_FILE = r"\.(?:js|mjs|cjs|css|html?)$"
@@ -225,6 +227,12 @@ def _dense(line: Column) -> Column:
     return (F.length(line) >= MINIFIED_CHARS) & (F.regexp_count(line, F.lit(r"\s")) < MINIFIED_SPACE * F.length(line))
 
 
+def _array_of_numbers(patch: Column) -> Column:
+    runs = F.regexp_extract_all(patch, F.lit(ARRAY), F.lit(1))
+    commas = lambda x: F.regexp_count(x, F.lit(","))
+    return patch.rlike(ARRAY) & F.exists(runs, lambda x: (commas(x) >= BLOB_NUMBERS - 1) & (F.regexp_count(x, F.lit(NUMBER)) == commas(x)))
+
+
 def _content_evidence(mined: DataFrame) -> DataFrame:
     """Rows with ``path``, own identity, the decisive flags of content and a digest of the patch."""
     path = normal_path(F.col("file"))
@@ -235,7 +243,7 @@ def _content_evidence(mined: DataFrame) -> DataFrame:
         F.nullif(F.col("repo"), F.lit("")).alias("rid"), "repo", "commit_hash", "file", path.alias("path"),
         F.coalesce(F.col("patch").rlike(GENERATOR), F.lit(False)).alias("noted"),
         (F.coalesce((origin != "") & (F.regexp_replace(origin, r"\.+$", "") != own), F.lit(False))).alias("copied"),
-        F.coalesce(F.col("patch").rlike(BLOB), F.lit(False)).alias("blob"),
+        F.coalesce(F.col("patch").rlike(BLOB) | _array_of_numbers(F.col("patch")), F.lit(False)).alias("blob"),
         F.when(F.lower(path).rlike(MINIFIED_FILE), F.coalesce(F.exists(F.split("patch", "\n"), _dense), F.lit(False))).otherwise(False).alias("minified"),
         F.when(F.col("patch").rlike(r"\S"), F.xxhash64(F.regexp_replace("patch", r"\r\n?", "\n"))).alias("digest"),
     )

@@ -34,6 +34,8 @@ def test_reasons(mined):
         ("o_a_00000001", "s/hand.js", "const a = require('b');\n" * 30, None),
         ("o_a_00000001", "b.tf", 'locals {\n  x = "' + "aB3/" * 80 + '"\n}', "blob"),
         ("o_a_00000001", "bytes.py", "@@ -0,0 +1,9 @@\n+KEY = [\n" + "+    0x4b, 0x15, 0x9b, 0x2d, 0xfb,\n" * 9 + "+]", "blob"),
+        ("o_a_00000001", "many.json", '{"v": [' + "-0.25, 1e-3," * 100_000 + "1]}", "blob"),
+        ("o_a_00000001", "words.txt", "list (" + "dad, bad, fad, " * 40 + ")", None),
         ("o_a_00000001", "few.py", "PORTS = [" + "80, 443, " * 12 + "]", None),
         ("o_a_00000001", "n5.tf", "# == rendered from net.tmpl by stack-tool, edit the template instead", "notice"),
         ("o_a_00000001", "n6.tf", "# rendered from net.tmpl by stack-tool", None),

@@ -52,16 +52,40 @@ def status_counts(df: DataFrame, status: Column, failed: str, mined: Column) ->
     )
 
 
-def mining_summary(df: DataFrame, name: str, stars: str, status: str, commits: str) -> DataFrame:
-    """One row ``summary`` (JSON): the ten repositories with most stars, counts of each status and totals."""
-    top = top_by(df.select(F.col(name).alias("repo"), F.col(stars).alias("stars")), "stars", 10, "repo").agg(
-        F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("stars", "repo")))), lambda x: F.struct(x["repo"].alias("repo"), x["stars"].alias("stars"))).alias("top_repositories_by_stars")
+def mining_summary(df: DataFrame, name: str, stars: str, status: str, commits: str, parameters: dict[str, object] | None = None, failed: str = "clone_failed") -> DataFrame:
+    """One row of a mining run: ``total_repositories_found, total_repositories_attempted, total_repositories_successful_clone,
+    total_repositories_commits_mined_at_least_one, total_commits, top_repositories_by_stars, statuses, parameters``.
+
+    The top list holds ten repositories (stars falling, then names; null stars last);
+    ``statuses`` counts each status. The row is small whatever the input.
+    """
+    top = top_by(df.select(F.col(name).alias("repo"), F.coalesce(F.col(stars), F.lit(-1)).alias("stars")), "stars", 10, "repo").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("stars")).alias("o"), "repo", "stars"))), lambda x: F.struct(x["repo"].alias("repo"), F.nullif(x["stars"], F.lit(-1)).alias("stars"))).alias("top_repositories_by_stars")
+    )
+    counts = df.groupBy(F.coalesce(F.col(status), F.lit("unknown")).alias("status")).agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("status", "n"))).alias("statuses"))
+    totals = df.agg(
+        F.count(F.lit(1)).alias("total_repositories_found"), F.count(F.lit(1)).alias("total_repositories_attempted"),
+        F.count_if(~F.col(status).eqNullSafe(F.lit(failed))).alias("total_repositories_successful_clone"),
+        F.count_if(F.coalesce(F.col(commits), F.lit(0)) > 0).alias("total_repositories_commits_mined_at_least_one"), F.coalesce(F.sum(commits), F.lit(0)).alias("total_commits"),
     )
-    counts = df.groupBy(F.coalesce(F.col(status), F.lit("unknown")).alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))).alias("statuses"))
-    totals = df.agg(F.count(F.lit(1)).alias("total_repositories_found"), F.coalesce(F.sum(commits), F.lit(0)).alias("total_commits"))
+    given = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(str(v)).alias("value")) for k, v in sorted((parameters or {}).items())]) if parameters else F.array().cast("array<struct<name:string,value:string>>")
     # Three one-row results.
     one = totals.withColumn("__one", F.lit(1)).join(counts.withColumn("__one", F.lit(1)), "__one").join(top.withColumn("__one", F.lit(1)), "__one")
-    return one.select(F.to_json(F.struct("total_repositories_found", "total_commits", "statuses", "top_repositories_by_stars")).alias("summary"))
+    return one.drop("__one").withColumn("parameters", given)
+
+
+def processed_repositories(df: DataFrame, name: str, status: str, commits: str, reason: str | None = None) -> DataFrame:
+    """``repo, attempts, status, mined_commits``, and ``reason`` if named: the outcome of each repository, whose last status by name order counts, over all its attempts."""
+    more = [F.max(reason).alias("reason")] if reason else []
+    return df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("repo")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.max(status).alias("status"), F.coalesce(F.max(commits), F.lit(0)).alias("mined_commits"), *more
+    )
+
+
+def summary_json(summary: DataFrame) -> DataFrame:
+    """One row ``summary``: the mining summary as JSON, parameters as an object."""
+    own = F.transform("parameters", lambda x: F.struct(x["name"], x["value"]))
+    return summary.withColumn("parameters", F.map_from_entries(own)).select(F.to_json(F.struct(*summary.columns)).alias("summary"))
 
 
 def repository_urls(repo_name: Column, commit_hash: Column, base: str) -> tuple[Column, Column]:
@@ -74,7 +98,12 @@ def repository_urls(repo_name: Column, commit_hash: Column, base: str) -> tuple[
     return url, F.concat(F.lit('=HYPERLINK("'), url, F.lit("/commit/"), commit_hash, F.lit('")'))
 
 
+# Spellings of definite labels in annotation tables, in upper case.
+YES = ("TRUE", "T", "1", "1.0", "YES", "Y", "SIM", "S", "VERDADEIRO", "V", "SÍ", "SI", "VERDADERO")
+NO = ("FALSE", "F", "0", "0.0", "NO", "N", "NÃO", "NAO", "FALSO")
+
+
 def label_value(label: Column) -> Column:
-    """True, false, or null for open and blank labels of an annotation table."""
-    t = F.upper(F.trim(label))
-    return F.when(t.isin("TRUE", "1", "1.0", "T"), True).when(t.isin("FALSE", "0", "0.0", "F"), False)
+    """True, false, or null for open, blank and unknown labels of an annotation table."""
+    t = F.upper(F.regexp_replace(label, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", ""))
+    return F.when(t.isin(*YES), True).when(t.isin(*NO), False)

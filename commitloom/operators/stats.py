@@ -32,6 +32,19 @@ def corpus_overview(commits: DataFrame, message: str, repo: str, when: str, unic
     )
 
 
+def commit_traits(folded: DataFrame, message: str, files: Column, cleaned: Column, unicode: bool = True) -> DataFrame:
+    """One row: ``n_commits, n_generic_merges, n_only_vendor, n_touch_vendor, n_non_english`` of folded commits.
+
+    ``files`` is an array of a commit's file names. Messages without letters have no language.
+    """
+    line = text.first_line(F.col(message))
+    return folded.agg(
+        F.count(F.lit(1)).alias("n_commits"), F.count_if(text.is_generic_merge(F.col(message), cleaned)).alias("n_generic_merges"),
+        F.count_if(F.coalesce(paths.only_vendor(files), F.lit(False))).alias("n_only_vendor"), F.count_if(F.coalesce(paths.touches_vendor(files), F.lit(False))).alias("n_touch_vendor"),
+        F.count_if(line.rlike(r"\p{L}") & (text.language(line) != "en")).alias("n_non_english"),
+    )
+
+
 def extension_counts(commits: DataFrame, files: Column) -> DataFrame:
     """``ext, n_commits``: commits that touch each extension; files without one are left out."""
     exts = F.array_distinct(F.transform(F.filter(files, lambda f: f.isNotNull()), paths.extension))
@@ -70,3 +83,31 @@ def validate(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFra
     one = df.agg(*[v.cast("double").alias(k) for k, (v, _) in checks.items()])
     rows = [one.select(F.lit(k).alias("check"), F.col(k).alias("value")).withColumn("ok", F.coalesce(cond, F.lit(False))) for k, (_, cond) in checks.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def corpus_checks(commits: DataFrame, sample: DataFrame, when: str, length: Column, size: int, at_least: int = 50, drift_alert: float = 0.1, median_alert: float = 0.2) -> DataFrame:
+    """``check, value, ok``: a sample against its corpus.
+
+    ``sample_rows`` (within a tenth of ``size``), ``thin_months`` (months of the sample
+    with fewer than ``at_least`` rows), ``yearly_drift`` (largest difference of the
+    shares of years; not ok if they differ in number), ``median_drift`` (of ``length``,
+    as a share of the corpus' median, both sides in one unit), ``undated`` (share of
+    rows without a date in the corpus).
+    """
+    month = sample.where(F.col(when).isNotNull()).groupBy(F.date_format(when, "yyyy-MM").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    thin = month.agg(F.count_if(F.col("n") < at_least).cast("double").alias("value")).select(F.lit("thin_months").alias("check"), "value", (F.col("value") == 0).alias("ok"))
+    rows = sample.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("sample_rows").alias("check"), "value", F.col("value").between(0.9 * size, 1.1 * size).alias("ok"))
+    years = drift(shares(commits, F.year(when), "y"), shares(sample, F.year(when), "y"), "y", drift_alert)
+    years = years.select(F.lit("yearly_drift").alias("check"), F.col("max_drift").cast("double").alias("value"), (F.col("max_drift").isNotNull() & ~F.col("alert")).alias("ok"))
+    middle = lambda df: df.agg(F.median(length).alias("m")).scalar()
+    median = commits.agg((F.abs(F.median(length) - middle(sample)) / F.nullif(F.median(length), F.lit(0.0))).alias("value"))
+    median = median.select(F.lit("median_drift").alias("check"), "value", F.coalesce(F.col("value") <= median_alert, F.lit(False)).alias("ok"))
+    undated = validate(commits, {"undated": (F.count_if(F.col(when).isNull()) / F.count(F.lit(1)), F.col("value") < 0.05)})
+    return reduce(DataFrame.unionByName, [rows, thin, years, median, undated])
+
+
+def recount(df: DataFrame, counts: DataFrame, key: str, n: str) -> DataFrame:
+    """``check, value, ok``: keys whose count in ``counts`` differs from that of ``df``, in either direction."""
+    own = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    both = own.join(counts.select(F.col(key).alias("__k"), F.col(n).alias("__c")), F.col(key).eqNullSafe(F.col("__k")), "full_outer")
+    return both.agg(F.count_if(~F.col("__n").eqNullSafe(F.col("__c"))).cast("double").alias("value")).select(F.lit("recount_" + key).alias("check"), "value", (F.col("value") == 0).alias("ok"))

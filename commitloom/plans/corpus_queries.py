@@ -11,6 +11,7 @@ from ..functions import paths, text
 from ..functions.instants import to_instant
 from ..lineage import ensure_checkpoint_dir
 from ..operators import density, diff, embed, fold, hcl, records, report, sampling, stats, tokens
+from ..sources import connectors
 from ..sources.tables import table
 from ..streaming.ingest import windowed_counts
 
@@ -40,8 +41,9 @@ _FIRST = r"regexp_split_to_array(message, '\r\n|\n|\r')[1]"
 _MESSAGES = "(SELECT DISTINCT message FROM mined_data WHERE message IS NOT NULL) m"
 
 
-def _tidy_sql(line: str) -> str:
-    t = rf"trim(regexp_replace(regexp_replace(lower(regexp_replace({line}, '(\s|^)(#|GH-)\d+\b', ' ', 'g')), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g'))"
+def _tidy_sql(line: str, unicode: bool = False) -> str:
+    space, visible = (r"[\s\x0b\x{85}\p{Z}]", r"[^\s\x0b\x{85}\p{Z}]") if unicode else (r"\s", r"\S")
+    t = rf"trim(regexp_replace(regexp_replace(lower(regexp_replace({line}, '({space}|^)(#|GH-)\d+\b', ' ', 'g')), 'https?://{visible}+', ' ', 'g'), '{space}+', ' ', 'g'))"
     return f"nullif(CASE WHEN length({t}) > 150 THEN regexp_replace({t}[1:150], ' [^ ]*$', '') ELSE {t} END, '')"
 
 
@@ -98,7 +100,16 @@ def bugfix_classifier(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).groupBy(text.is_bugfix(F.col("message")).alias("is_bugfix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query()
+def _language_sql(value: str) -> str:
+    """The language of a text: most frequent words, the first language on a tie."""
+    hits = {k: f"len(list_filter(regexp_extract_all(lower({value}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains([{_list(ws)}], w)))" for k, ws in text.LANGUAGE_WORDS.items()}
+    names = list(hits)
+    cases = " ".join(f"WHEN l.{k} >= greatest({', '.join('l.' + n for n in names[i + 1:])}) THEN '{k}'" for i, k in enumerate(names[:-1]))
+    packed = ", ".join(f"'{k}': {h}" for k, h in hits.items())
+    return f"(SELECT CASE WHEN {value} IS NULL THEN NULL {cases} ELSE '{names[-1]}' END FROM (SELECT {{{packed}}} AS l) q)"
+
+
+@_query(f"SELECT lang, {_language_sql('text')} AS detected, count(*) AS n FROM documents GROUP BY 1, 2")
 def message_languages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang", text.language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -177,9 +188,37 @@ def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return fold.keep_first(rows, ["repo", "commit_hash"], [F.coalesce(c, F.lit("")) for c in ("file", "patch", "date", "head_hash")]).select("repo", "commit_hash", "file", "date")
 
 
-@_query()
+_INSTANT = "coalesce(try_strptime(regexp_replace(trim(date), 'Z$', '+00:00'), '%Y-%m-%dT%H:%M:%S%z'), try_strptime(trim(date), '%Y-%m-%d %H:%M:%S %z'), try_strptime(trim(date), '%a %b %d %H:%M:%S %Y %z'))"
+_MERGE = rf"regexp_matches(message, '(?i)^(?:{'|'.join(text.MERGE_FORMS).replace(chr(39), chr(39) * 2)})')"
+_RELEVANT = f"coalesce(bool_or(NOT regexp_matches(file, '(?i)(?:{'|'.join(paths.EXCLUDED_PATTERNS)})')), false)"
+#: One row a commit: its first record's message, cleaned, and date, and what its files say.
+_FOLDED = f"""
+    first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY coalesce(file, ''), {_DIGEST}) AS rn FROM {_KEYED}) t WHERE rn = 1),
+    told AS (SELECT *, coalesce(nullif({_content_sql()}, ''), {_FIRST}) AS line FROM first),
+    cleaned AS (SELECT *, {_tidy_sql("line", True)} AS msg_clean FROM told),
+    per AS (SELECT repo, commit_hash, {_RELEVANT} AS relevant, coalesce(bool_and(trim(file) LIKE 'vendor/%') FILTER (trim(file) <> ''), false) AS only_vendor,
+        coalesce(bool_or(regexp_matches(file, '(?i)vendor/')), false) AS touches_vendor FROM {_KEYED} GROUP BY 1, 2),
+    folded AS (SELECT c.repo, c.commit_hash, message, msg_clean, {_INSTANT} AS ts, coalesce({_MERGE}, false) AND (coalesce(msg_clean, '') = '' OR regexp_matches(msg_clean, '^merge (?:pull request|branch)')) AS is_merge,
+        relevant, only_vendor, touches_vendor FROM cleaned c JOIN per USING (repo, commit_hash))"""
+_BEST = f"""
+    best AS (SELECT repo, commit_hash, CASE WHEN coalesce(patch, '') <> '' THEN file END AS file, CASE WHEN coalesce(patch, '') <> '' THEN array_to_string(string_split(patch, chr(10))[1:10], chr(10)) ELSE '' END AS excerpt
+        FROM (SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY {_RANK}, coalesce(file, ''), {_DIGEST}) AS rn FROM {_KEYED}) r WHERE rn = 1)"""
+
+
+@_query(f"""
+    WITH {_FOLDED}, {_BEST} SELECT commit_hash, repo AS repo_name, msg_clean, coalesce(b.file, 'not_extracted') AS file, coalesce(nullif(b.excerpt, ''), 'not_extracted') AS patch_excerpt,
+        ts AT TIME ZONE 'UTC' AS author_date, length(msg_clean) AS msg_len FROM folded JOIN best b USING (repo, commit_hash) WHERE NOT is_merge AND msg_clean IS NOT NULL AND relevant""")
 def eligible_commits(spark: SparkSession, d: str) -> DataFrame:
-    return fold.eligible(fold.fold_commits(table(spark, d, "mined_data"), _order()))
+    rows = fold.eligible(fold.fold_commits(table(spark, d, "mined_data"), _order()))
+    return rows.withColumn("author_date", F.col("author_date").cast("timestamp_ntz"))
+
+
+@_query(f"""
+    WITH {_FOLDED} SELECT count(*) AS n_commits, count(*) FILTER (is_merge) AS n_generic_merges, count(*) FILTER (only_vendor) AS n_only_vendor, count(*) FILTER (touches_vendor) AS n_touch_vendor,
+        count(*) FILTER (regexp_matches({_FIRST}, '\\p{{L}}') AND {_language_sql(_FIRST)} <> 'en') AS n_non_english FROM folded""")
+def commit_traits(spark: SparkSession, d: str) -> DataFrame:
+    folded = fold.fold_commits(table(spark, d, "mined_data"), _order())
+    return stats.commit_traits(folded, "msg_original", F.transform("modifications", lambda m: m["filename"]), F.col("msg_clean"))
 
 
 @_query("""
@@ -228,9 +267,30 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return records.status_counts(table(spark, d, "clone_summary"), F.col("status"), "clone_failed", F.col("commits"))
 
 
-@_query()
+@_query("""
+    SELECT count(*) AS total_repositories_found, count(*) AS total_repositories_attempted, count(*) FILTER (status IS DISTINCT FROM 'clone_failed') AS total_repositories_successful_clone,
+        count(*) FILTER (coalesce(commits, 0) > 0) AS total_repositories_commits_mined_at_least_one, sum(commits)::BIGINT AS total_commits,
+        (SELECT string_agg(repo || ':' || stars, ';' ORDER BY stars DESC, repo) FROM (SELECT repo, stars FROM clone_summary WHERE repo IS NOT NULL ORDER BY coalesce(stars, -1) DESC, repo LIMIT 10) t) AS top_repositories,
+        (SELECT string_agg(s || ':' || n, ';' ORDER BY s) FROM (SELECT coalesce(status, 'unknown') AS s, count(*) AS n FROM clone_summary WHERE repo IS NOT NULL GROUP BY 1) x) AS statuses, 'limit=50;stars=10' AS parameters
+    FROM clone_summary WHERE repo IS NOT NULL""")
 def mining_summary(spark: SparkSession, d: str) -> DataFrame:
-    return records.mining_summary(table(spark, d, "clone_summary"), "repo", "stars", "status", "commits")
+    one = records.mining_summary(table(spark, d, "clone_summary").where("repo IS NOT NULL"), "repo", "stars", "status", "commits", {"stars": 10, "limit": 50})
+    pairs = lambda c, k, v, by: F.array_join(F.transform(c, lambda x: F.concat(x[k], F.lit(by), x[v].cast("string"))), ";")
+    return one.select(
+        *[c for c in one.columns if c.startswith("total_")], pairs("top_repositories_by_stars", "repo", "stars", ":").alias("top_repositories"), pairs("statuses", "status", "n", ":").alias("statuses"), pairs("parameters", "name", "value", "=").alias("parameters")
+    )
+
+
+@_query("SELECT repo, count(*) AS attempts, max(status) AS status, coalesce(max(commits), 0) AS mined_commits FROM clone_summary WHERE repo IS NOT NULL GROUP BY 1")
+def processed_repositories(spark: SparkSession, d: str) -> DataFrame:
+    return records.processed_repositories(table(spark, d, "clone_summary"), "repo", "status", "commits")
+
+
+@_query(f"""
+    SELECT repo, arg_max(head_hash, (coalesce(epoch_us({_INSTANT}), -9e18::BIGINT), head_hash)) AS last_head, max({_INSTANT}) AT TIME ZONE 'UTC' AS last_updated, count(DISTINCT commit_hash) AS total_commits_processed
+    FROM mined_data WHERE repo <> '' AND head_hash IS NOT NULL GROUP BY 1""")
+def resume_points(spark: SparkSession, d: str) -> DataFrame:
+    return connectors.resume_points(table(spark, d, "mined_data")).withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
 
 
 @_query("""
@@ -242,7 +302,8 @@ def commit_links(spark: SparkSession, d: str) -> DataFrame:
     return fold.required(table(spark, d, "mined_data"), "repo", "commit_hash").select("repo", url.alias("repo_url"), link.alias("link")).distinct()
 
 
-_LABEL = "CASE WHEN upper(trim(is_bugfix)) IN ('TRUE', '1', '1.0', 'T') THEN true WHEN upper(trim(is_bugfix)) IN ('FALSE', '0', '0.0', 'F') THEN false END"
+_PLAIN = r"upper(regexp_replace(is_bugfix, '^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$', '', 'g'))"
+_LABEL = f"CASE WHEN {_PLAIN} IN ({_list(records.YES)}) THEN true WHEN {_PLAIN} IN ({_list(records.NO)}) THEN false END"
 _SAMPLES = " UNION ALL ".join(f"SELECT '{a}' AS annotator, * FROM sample_{a}" for a in ("heleno", "isadora", "vania", "joao"))
 
 
@@ -318,6 +379,31 @@ def validations(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
+_PICKED = "(SELECT * FROM documents ORDER BY md5('42|' || doc_id::VARCHAR), doc_id LIMIT 169)"
+_YEARS = "(SELECT year(created_at AT TIME ZONE 'UTC') AS y, count(*) / sum(count(*)) OVER () AS share FROM {0} x WHERE created_at IS NOT NULL GROUP BY 1)"
+
+
+@_query(f"""
+    WITH p AS (SELECT * FROM {_PICKED} x), m AS (SELECT count(*) AS n FROM p WHERE created_at IS NOT NULL GROUP BY strftime(created_at AT TIME ZONE 'UTC', '%Y-%m')),
+    y AS (SELECT CASE WHEN count(a.share) = count(b.share) THEN max(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) END AS v FROM {_YEARS.format("documents")} a FULL OUTER JOIN {_YEARS.format("p")} b USING (y)),
+    h AS (SELECT abs(median(n_chars) - (SELECT median(n_chars) FROM p)) / nullif(median(n_chars), 0) AS v FROM documents), u AS (SELECT count(*) FILTER (created_at IS NULL) / count(*) AS v FROM documents)
+    SELECT 'sample_rows' AS "check", count(*)::DOUBLE AS value, count(*) BETWEEN 0.9 * 169 AND 1.1 * 169 AS ok FROM p UNION ALL SELECT 'thin_months', (count(*) FILTER (n < 5))::DOUBLE, count(*) FILTER (n < 5) = 0 FROM m
+    UNION ALL SELECT 'yearly_drift', v, coalesce(v <= 0.1, false) FROM y UNION ALL SELECT 'median_drift', v, coalesce(v <= 0.2, false) FROM h UNION ALL SELECT 'undated', v, v < 0.05 FROM u""")
+def corpus_checks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return stats.corpus_checks(docs, sampling.simple_sample(docs, "doc_id", 169), "created_at", F.col("n_chars"), 169, at_least=5)
+
+
+@_query(f"""
+    SELECT 'recount_repo' AS "check", count(*)::DOUBLE AS value, count(*) = 0 AS ok FROM (SELECT repo, count(*) AS n FROM mined_data GROUP BY 1) a
+    FULL OUTER JOIN (SELECT repo AS r, count(*) AS c FROM {_KEYED} GROUP BY 1) b ON repo IS NOT DISTINCT FROM r WHERE n IS DISTINCT FROM c""")
+def recount(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each repository against the sizes of its folded commits; those that folding leaves out differ."""
+    mined = table(spark, d, "mined_data")
+    folded = fold.fold_commits(mined, _order()).groupBy(F.col("repo_name").alias("repo")).agg(F.sum(F.size("modifications")).alias("n"))
+    return stats.recount(mined, folded, "repo", "n")
+
+
 # ---- tokens
 
 _WORDS = rf"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda t: length(t) > 1 AND regexp_matches(t, '^[\p{{L}}\p{{N}}]+$') AND NOT regexp_matches(t, '^\p{{Nd}}+$') AND NOT list_contains([{_list(tokens.STOP_WORDS + tokens.TOOL_WORDS)}], t))"
@@ -451,7 +537,12 @@ def diff_enrich(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("resource_type", "attr_name", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query()
+@_query(rf"""
+    WITH r AS (SELECT md5(patch) AS patch_id, repo, commit_hash, file FROM mined_data WHERE length(patch) > 0), l AS ({_LINES}),
+    n AS (SELECT patch_id, count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'removed') AS d, count(*) AS n FROM l GROUP BY 1)
+    SELECT count(DISTINCT repo) AS n_repos, count(DISTINCT commit_hash) AS n_commits, count(DISTINCT file) AS n_files,
+        (SELECT count(DISTINCT nullif(regexp_extract(content, '^\s*(?:resource|data)\s+"([^"]+)"\s+"[^"]+"', 1), '')) FROM l) AS n_resource_types,
+        sum(a)::BIGINT AS n_added, sum(d)::BIGINT AS n_removed, sum(n)::BIGINT AS n_lines FROM r JOIN n USING (patch_id)""")
 def diff_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = diff.enrich(diff.diff_lines(table(spark, d, "mined_data"), keep=["repo", "commit_hash", "file"]))
     return diff.line_stats(rows, "repo", "commit_hash", "file")
@@ -590,7 +681,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@_query()
+@_query("SELECT repo, count(*) AS n FROM (SELECT DISTINCT repo, commit_hash, file FROM mined_data) t GROUP BY 1")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The mined table taken in as a stream, each key once."""
     from ..sources.sinks import append_mined

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.records import new_only
 
 
-def append_mined(new: DataFrame, path: str, keys: list[str] = ["repo", "commit_hash", "file"]) -> int:  # noqa: B006
-    """Append the records that a parquet folder (partitioned by repository) lacks; returns how many. Repeating it adds nothing."""
+#: Folders that appended records are dealt to by a hash of their key.
+PARTS = 64
+
+
+def append_mined(new: DataFrame, path: str, keys: list[str] = ["repo", "commit_hash", "file"], parts: int = PARTS) -> int:  # noqa: B006
+    """Append the records that a parquet folder lacks; returns how many. Repeating it adds nothing.
+
+    The folder is partitioned by ``part``, a hash of the key, so only the parts that the
+    new records fall into are read, and of them only the key columns.
+    """
     spark = new.sparkSession
-    new = new.dropDuplicates(keys)
+    new = new.drop("part").dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
     try:
-        fresh = new_only(new, spark.read.parquet(path).select(*keys), keys)
-    except Exception as e:  # the folder does not exist yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        old = spark.read.parquet(path)
+    except AnalysisException as e:  # the folder does not exist yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        fresh = new
-    fresh = fresh.persist()
+        old = None
+    if old is not None:
+        touched = [r.part for r in new.select("part").distinct().collect()]  # at most ``parts``
+        new = new_only(new, old.where(F.col("part").isin(touched)).select("part", *keys), ["part", *keys])
+    fresh = new.persist()
     n = fresh.count()
     if n:
-        fresh.write.mode("append").parquet(path)
+        fresh.repartition("part").write.mode("append").partitionBy("part").parquet(path)
     fresh.unpersist()
     return n
 
@@ -55,6 +68,12 @@ def write_lines(lines: Iterable[str], path: str) -> None:
 
 
 def write_bigrams(df: DataFrame, path: str) -> None:
-    """``[[bigram, n], ...]`` as one JSON document; the list is a top-k."""
-    row = df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "bigram", "n"))), lambda x: F.array(x["bigram"], x["n"].cast("string")))).alias("j")).first()
-    write_lines([row.j or "[]"], path)
+    """``[[bigram, n], ...]`` as one JSON document with numbers; the list is a top-k."""
+    rows = [[r.bigram, r.n] for r in df.orderBy(F.desc("n"), "bigram").collect()]
+    write_lines([json.dumps(rows, ensure_ascii=False)], path)
+
+
+def write_markdown_table(df: DataFrame, path: str) -> None:
+    """A small table as Markdown, in its order."""
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    write_lines([*head, *("| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in df.toLocalIterator())], path)

@@ -1,5 +1,9 @@
+import http.server
 import json
+import re
 import subprocess
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +74,70 @@ def test_git_log_source(spark, tmp_path):
     assert append_new(got.drop("patch_kind"), new.drop("patch_kind")).count() == 3
 
 
+def test_git_log_slices_and_damaged_clones(spark, tmp_path):
+    repo = tmp_path / "c1"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=A", "-c", "user.email=a@b", *a], check=True, capture_output=True, text=True).stdout.strip()
+    run("init", "-q")
+    for i in range(7):
+        (repo / "main.tf").write_text(f"a = {i}\n" + "é" * 300_000 + "\n")
+        (repo / f"f{i}.tf").write_text(f"b = {i}\n")
+        run("add", "."), run("commit", "-qm", f"step {i}")
+    connectors.register(spark)
+    read = lambda **o: spark.read.format("git_log").options(repos=str(repo), suffix=".tf", **o).load().collect()
+    whole, sliced = read(), read(slice="2")
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, sliced)) and len(whole) == 14 and {r.patch_kind for r in whole} == {"diff"}
+    heads = {r.message: r.commit_hash for r in whole}
+    since = json.dumps({"c1": heads["step 4"]})
+    assert {r.message for r in read(since=since)} == {"step 5", "step 6"} and len(read(since=json.dumps({"c1": "f" * 40}))) == 14
+    points = connectors.resume_points(spark.createDataFrame(whole).drop("patch_kind"))
+    assert points.first().total_commits_processed == 7 and json.loads(connectors.resume_option(points)) == {"c1": heads["step 6"]}
+    # a clone without one blob: no diff of the commits around it, so the changed files as they are
+    blob = run("rev-parse", f"{heads['step 3']}:main.tf")
+    (repo / ".git" / "objects" / blob[:2] / blob[2:]).unlink()
+    kinds = {(r.message, r.file): r.patch_kind for r in read()}
+    assert kinds[("step 3", "f3.tf")] == kinds[("step 4", "main.tf")] == "content" and kinds[("step 6", "f6.tf")] == kinds[("step 0", "f0.tf")] == "diff" and len(kinds) == 14
+    # without the tree of a parent, all files of the commit
+    tree = run("rev-parse", f"{heads['step 0']}^{{tree}}")
+    (repo / ".git" / "objects" / tree[:2] / tree[2:]).unlink()
+    kinds = {(r.message, r.file): r.patch_kind for r in read()}
+    assert kinds[("step 1", "f1.tf")] == kinds[("step 1", "f0.tf")] == "tree" and any(f is None and k == "failed" for (m, f), k in kinds.items() if m == "step 0")
+
+
+def test_search_service(spark):
+    asked, failing = [], {"/search/repositories": 1}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            path, _, query = self.path.partition("?")
+            asked.append(path)
+            limited = failing.get(path, 0) > 0
+            failing[path] = failing.get(path, 0) - 1
+            self.send_response(429 if limited else 404 if path == "/repos/o/gone/commits" else 200)
+            self.send_header("X-RateLimit-Remaining", "0" if limited else "50")
+            self.send_header("X-RateLimit-Reset", str(time.time()))
+            if path == "/repos/o/n/commits":
+                self.send_header("Link", '<http://x/commits?per_page=1&page=2>; rel="next", <http://x/commits?per_page=1&page=37>; rel="last"')
+            self.end_headers()
+            page = re.search(r"page=(\d+)$", query)
+            first = page is None or page[1] == "1"
+            self.wfile.write(json.dumps({"items": [{"full_name": f"o/{x}", "stargazers_count": 9, "forks_count": 1} for x in ("n", "gone")] if first else []} if "search" in path else [{}]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, naps = f"http://127.0.0.1:{server.server_port}", []
+    service = connectors.SearchService(url, sleep=naps.append)
+    assert len(service.get("/search/repositories", q="x")[0]["items"]) == 2 and len(naps) == 1 and naps[0] > 4  # waited for the reset, then asked again
+    assert [service.commit_count(x) for x in ("o/n", "o/gone", "o/one")] == [37, 0, 1]
+    connectors.register(spark)
+    rows = spark.read.format("repo_search").options(endpoint=url, limit="5").load().where("priority < 2").collect()
+    assert sorted((r.repo_full_name, r.commits, r.priority, r.position) for r in rows) == [("o/gone", 0, 0, 1), ("o/gone", 0, 1, 1), ("o/n", 37, 0, 0), ("o/n", 37, 1, 0)]
+    server.shutdown()
+
+
 def test_clones(spark, tmp_path):
     origin = tmp_path / "remote" / "o" / "n"
     origin.mkdir(parents=True)

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .trigrams import Index, required, trigrams_of
+from .trigrams import Index, holds, required, trigrams_of
 
-#: Bytes of text indexed at once; longer single texts skip the index and meet every detector.
-INDEX_BYTES = 4 << 20
+#: Characters of text indexed at once; a longer text is indexed in pieces that end with lines, and finds the same.
+INDEX_CHARS = 4 << 20
 
 # Last parts of names that hold secrets, in the languages of the corpus.
 NAME = (
@@ -69,20 +69,20 @@ DETECTORS = (
     Detector("url", r"(?<![\w])[a-z][a-z0-9+.-]{1,20}://[^\s:@/\"'<>]*:(?P<s>[^\s@/\"'<>]{3,})@", lambda v: not REFERENCE.search(v) and not PLACEHOLDER.match(v) and not v.startswith("$")),
     Detector("basic_auth", rf"(?i)authorization[\"']?(?:{_GAP})?[:=](?:{_GAP})?[\"']?basic{_GAP}(?P<s>[A-Za-z0-9+/]{{8,}}={{0,2}})", is_literal, lines=False),
     Detector("bearer_auth", rf"(?i)authorization[\"']?(?:{_GAP})?[:=](?:{_GAP})?[\"']?(?:bearer|token){_GAP}(?P<s>[\w.+/=-]{{12,}})", is_literal, lines=False),
-    Detector("command", r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[\w.@-]+:[\"']?(?P<s>[^\s\"']{4,})", is_literal),
+    Detector("command", r"\bcurl\b(?:(?!\bcurl\b)[^\n])*?\s(?:-u|--user)[ =]?[\"']?[\w.@-]+:[\"']?(?P<s>[^\s\"']{4,})", is_literal),
     Detector("command", r"\bsshpass\s+-p\s*[\"']?(?P<s>[^\s\"']{4,})", is_literal),
-    Detector("command", r"\b(?:mysql|mysqldump|mysqladmin)\b[^\n]*?\s-p[\"']?(?P<s>[^\s\"']{4,})", is_literal),
+    Detector("command", r"\b(?:mysql|mysqldump|mysqladmin)\b(?:(?!\bmysql)[^\n])*?\s-p[\"']?(?P<s>[^\s\"']{4,})", is_literal),
     Detector("netrc", rf"\blogin{_GAP}\S+{_GAP}password{_GAP}(?P<s>\S{{4,}})", is_literal, lines=False),
     Detector("webhook", r"(?P<s>https://hooks\.[\w.-]+/services/T\w{6,}/B\w{6,}/\w{12,})"),
     Detector("sas", r"[?&]sig=(?P<s>[\w%+/=-]{16,})"),
     Detector("account_key", r"AccountKey=(?P<s>[A-Za-z0-9+/]{30,}={0,2})"),
-    Detector("comment", r"(?im)^[-+ ]?[ \t]*(?:#|//|/\*|\*|--|;|<!--)[^\n]*?\b(?:pass(?:word|wd)?|pwd|pw (?:is|was)|pw ?[:=]|senha|contrase[nñ]a|login|creds?|credentials?|credenciais|secret|token|api key|usu[aá]rio)\b[^\n]*?[ \t:=/](?P<s>[^\s:=/,;\"'()]{6,})[ \t]*(?:\*/|-->)?[ \t]*\r?$", lambda v: is_literal(v) and bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and not re.match(r"^(?:v?\d[\d.]*\w?|#?\d+|\d{4}-\d\d(?:-\d\d)?\S*)$", v) and bool(re.search(r"[A-Z]|[^\w.\-]", v) or len(v) >= 20)),
+    Detector("comment", r"(?im)^[-+ ]?[ \t]*(?:#|//|/\*|\*|--|;|<!--)(?>[^\n]*?\b(?:pass(?:word|wd)?|pwd|pw (?:is|was)|pw ?[:=]|senha|contrase[nñ]a|login|creds?|credentials?|credenciais|secret|token|api key|usu[aá]rio)\b)[^\n]*?[ \t:=/](?P<s>[^\s:=/,;\"'()]{6,})[ \t]*(?:\*/|-->)?[ \t]*\r?$", lambda v: is_literal(v) and bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) and not re.match(r"^(?:v?\d[\d.]*\w?|#?\d+|\d{4}-\d\d(?:-\d\d)?\S*)$", v) and bool(re.search(r"[A-Z]|[^\w.\-]", v) or len(v) >= 20)),
     Detector("joined", rf"(?i){NAME}{_END}join\([ \t]*\"\"[ \t]*,[ \t]*\[(?P<s>[^\]\n]{{8,}})\]", lambda v: "var." not in v and "${" not in v and not PLACEHOLDER.match(v.strip("\"' "))),
     Detector("assignment", rf"(?i){NAME}{_END}\"(?P<s>[^\"\n]{{4,}})\"", is_literal),
     Detector("assignment", rf"(?i){NAME}{_END}'(?P<s>[^'\n]{{4,}})'", is_literal),
     Detector("assignment", rf"(?im)^[-+ ]?[ \t]*(?:-[ \t]+)?[\w.-]*{NAME}:[ \t]+(?P<s>[^\s\"'#,{{}}\[\]()<>&*!|%@`][^\s\"',{{}}()]{{4,}})[ \t]*(?:#[^\n]*)?\r?$", lambda v: is_literal(v) and not re.match(r"^[\w-]+(?:\.[\w-]+)+$", v)),
     Detector("environment", rf"(?m)^[-+ ]?[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+|ARG[ \t]+)?[A-Z0-9_]*(?i:{NAME})=(?P<s>[^\s\"'#][^\s\"']{{4,}})[ \t]*\r?$", is_literal),
-    Detector("default", rf"(?i)\bvariable[ \t]+\"[\w.-]*{NAME}\"[ \t]*\{{(?:[^}}\"]|\"[^\"\n]*\"(?![ \t]*\}}))*?\bdefault[ \t]*=[ \t]*\"(?P<s>[^\"\n]{{4,}})\"", is_literal, lines=False),
+    Detector("default", rf"(?i)\bvariable[ \t]+\"[\w.-]*{NAME}\"[ \t]*\{{(?:(?!\bvariable[ \t]+\")[^}}\"]|\"[^\"\n]*\"(?![ \t]*\}}))*?\bdefault[ \t]*=[ \t]*\"(?P<s>[^\"\n]{{4,}})\"", is_literal, lines=False),
     Detector("named_value", rf"(?i)\bname[ \t]*[=:][ \t]*\"?[\w.\[\]-]*(?:{NAME}|secretkey)\"?{_EOL}[ \t]*value[ \t]*[=:][ \t]*\"?(?P<s>[^\"\s]{{4,}})\"?", is_literal, lines=False),
 )
 CONDITIONS = tuple(required(d.regex) for d in DETECTORS)
@@ -99,18 +99,20 @@ def findings(text: str, which: list[tuple[int, int, int]] | None = None) -> list
     Of overlapping ones the first detector's in DETECTORS stays. ``which`` holds
     (detector, start, end) of the parts to search, by rising detector; everything by default.
     """
-    spans: list[tuple[int, int, str]] = []
     if which is None:
         starts = _line_starts(text)
         which = [(k, a, b) for k, d in enumerate(DETECTORS) for a, b in (((a, b - 1) for a, b in zip(starts, starts[1:])) if d.lines else [(0, len(text))])]
+    spans: list[tuple[int, int, str]] = []  # in order and apart, so a new one only meets its neighbours
     for k, lo, hi in which:
         d = DETECTORS[k]
         for m in COMPILED[k].finditer(text[lo:hi]):
             a, b = m.span("s")
             a, b = a + lo, b + lo
-            if d.check(m["s"]) and not any(a < y and x < b for x, y, _ in spans):
-                spans.append((a, b, d.kind))
-    return sorted(spans)
+            at = bisect_right(spans, (a, a, ""))
+            free = (at == 0 or spans[at - 1][1] <= a) and (at == len(spans) or b <= spans[at][0])
+            if free and d.check(m["s"]):
+                spans.insert(at, (a, b, d.kind))
+    return spans
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -129,10 +131,10 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def _batches(texts: list[str | None]) -> Iterator[list[int]]:
-    """Numbers of the texts, in runs of at most INDEX_BYTES characters."""
+    """Numbers of the texts, in runs of at most INDEX_CHARS characters; a longer text is a run of its own."""
     run, size = [], 0
     for i, t in enumerate(texts):
-        if run and size + len(t or "") > INDEX_BYTES:
+        if run and size + len(t or "") > INDEX_CHARS:
             yield run
             run, size = [], 0
         run.append(i)
@@ -141,24 +143,60 @@ def _batches(texts: list[str | None]) -> Iterator[list[int]]:
         yield run
 
 
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """(number of its first line, piece): pieces of whole lines with at most INDEX_CHARS characters, or of one longer line."""
+    at, line = 0, 0
+    while at < len(text):
+        end = text.rfind("\n", at, at + INDEX_CHARS) + 1 if len(text) - at > INDEX_CHARS else len(text)
+        if end <= at:
+            end = text.find("\n", at) + 1 or len(text)
+        piece = text[at:end]
+        yield line, piece
+        at, line = end, line + piece.count("\n")
+
+
+def _raw(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
+
+
+def _wanted_in_pieces(text: str, index: Index) -> list[tuple[int, int]]:
+    """(detector, line, or -1 for the whole text) that a long text's trigrams leave possible."""
+    present: set[bytes] = set()
+    wanted, before = [], b""
+    for first, piece in _pieces(text):
+        raw = _raw(piece)
+        index.build([raw])
+        present |= index.present()
+        seam = before[-2:] + raw[:2]
+        present |= {seam[i : i + 3] for i in range(len(seam) - 2)}
+        before = raw
+        for k, condition in enumerate(CONDITIONS):
+            if DETECTORS[k].lines:
+                lines = index.candidates(condition, "line")
+                # What follows a piece's last line end is the next piece's first line.
+                wanted += [(k, first + n) for n in lines.tolist() if n < piece.count("\n") or not piece.endswith("\n")]
+    wanted += [(k, -1) for k, condition in enumerate(CONDITIONS) if not DETECTORS[k].lines and holds(condition, present)]
+    return sorted(set(wanted))
+
+
 def _detect(texts: list[str | None], index: Index) -> list[list[tuple[int, int, str]]]:
     """Findings of every text; the index picks the detectors and lines to run them on."""
     out: list[list] = [[] for _ in texts]
     for run in _batches(texts):
-        if len(run) == 1 and len(texts[run[0]] or "") > INDEX_BYTES:
-            out[run[0]] = findings(texts[run[0]])
-            continue
         tries: dict[int, list[tuple[int, int]]] = {}
-        index.build([(texts[i] or "").lower().encode("utf-8", "replace") for i in run])
-        for k, condition in enumerate(CONDITIONS):
-            if DETECTORS[k].lines:
-                lines = index.candidates(condition, "line")
-                where = index.text_of[lines]
-                for c, n in zip(where.tolist(), (lines - index.first[where]).tolist()):
-                    tries.setdefault(run[c], []).append((k, n))
-            else:
-                for c in index.candidates(condition, "text").tolist():
-                    tries.setdefault(run[c], []).append((k, -1))
+        if len(run) == 1 and len(texts[run[0]] or "") > INDEX_CHARS:
+            tries[run[0]] = _wanted_in_pieces(texts[run[0]], index)
+        else:
+            index.build([_raw(texts[i]) for i in run])
+            for k, condition in enumerate(CONDITIONS):
+                if DETECTORS[k].lines:
+                    lines = index.candidates(condition, "line")
+                    where = index.text_of[lines]
+                    for c, n in zip(where.tolist(), (lines - index.first[where]).tolist()):
+                        tries.setdefault(run[c], []).append((k, n))
+                else:
+                    for c in index.candidates(condition, "text").tolist():
+                        tries.setdefault(run[c], []).append((k, -1))
         for i, wanted in tries.items():
             text = texts[i]
             if text:

@@ -55,6 +55,8 @@ def _walk(items) -> tuple[list[str] | None, object]:
             strings = [chr(a) for _, a in arg]
         elif op is C.SUBPATTERN:
             strings, inner = _walk(arg[3])
+        elif op is C.ATOMIC_GROUP:
+            strings, inner = _walk(arg)
         elif op is C.BRANCH:
             both = [_walk(b) for b in arg[1]]
             if all(s is not None for s, _ in both):
@@ -97,6 +99,13 @@ def trigrams_of(condition: object) -> set[bytes]:
     return {condition} if isinstance(condition, bytes) else set().union(*(trigrams_of(c) for c in condition[1:]))
 
 
+def holds(condition: object, present: set[bytes]) -> bool:
+    """Whether a text with these trigrams meets a condition."""
+    if condition is None or isinstance(condition, bytes):
+        return condition is None or condition in present
+    return (any if condition[0] == "or" else all)(holds(c, present) for c in condition[1:])
+
+
 class Index:
     """Posting lists of ``wanted`` trigrams over a batch of texts, by line and by text."""
 
@@ -129,6 +138,11 @@ class Index:
         starts, ids = self.posts[by]
         return ids[starts[k] : starts[k + 1]]
 
+    def present(self) -> set[bytes]:
+        """The wanted trigrams that occur in the batch."""
+        starts, _ = self.posts["text"]
+        return {bytes((c >> 16, c >> 8 & 255, c & 255)) for c in self.codes[np.diff(starts) > 0].tolist()}
+
     def candidates(self, condition: object, by: str = "text") -> np.ndarray:
         """Lines or texts that meet a condition, as rising numbers."""
         if condition is None:

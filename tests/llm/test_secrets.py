@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,24 @@ def test_index_loses_nothing():
     assert all(c is not None for c in S.CONDITIONS)
 
 
+@pytest.mark.parametrize("size", [1, 30, 200, 1000])
+def test_pieces_lose_nothing(size, monkeypatch):
+    """Texts above the index's size are indexed in pieces, with the same findings as when searched whole."""
+    rng = random.Random(size)
+    pool = [t for t, _ in FOUND] + CLEAN + ["", "é ñ İ", "x\r\ny", "login u\n+password 58Fnc1ljT7zHXu", "authorization:\n Bearer aB3dEfGh1jKlMn0p"]
+    texts = ["\n".join(rng.sample(pool, rng.randint(0, 6))) + rng.choice(("", "\n")) for _ in range(150)] + [None]
+    monkeypatch.setattr(S, "INDEX_CHARS", size)
+    assert S._detect(texts, S._new_index()) == [S.findings(t) if t else [] for t in texts]
+    assert all("".join(p for _, p in S._pieces(t)) == t and all(t.split("\n")[n].startswith(p.split("\n")[0]) for n, p in S._pieces(t)) for t in texts if t)
+
+
+def test_long_lines_take_linear_time():
+    start = time.perf_counter()
+    for text in ("# password " * 30_000, "curl x " * 50_000, "mysql x " * 50_000, 'variable "x_token" {\n' * 20_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "login x " * 50_000, "\n".join(t for t, _ in FOUND) * 300):
+        S.findings(text)
+    assert time.perf_counter() - start < 60
+
+
 def test_line_ends_windows_and_size_change_nothing():
     gap = " -v" * 100
     texts = [
@@ -57,7 +76,7 @@ def test_line_ends_windows_and_size_change_nothing():
     index = S._new_index()
     assert [len(x) for x in S._detect(texts, index)] == [1] * len(texts)
     far = "curl x\n-u joe:58Fnc1ljT7z"  # not one line
-    padding = "\n" + "q " * (S.INDEX_BYTES // 2) + "\n"
+    padding = "\n" + "q " * (S.INDEX_CHARS // 2) + "\n"
     for t in (texts[0], far):
         assert S._detect([t + padding], index) == S._detect([t], index)
 

@@ -14,20 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-
-# Spellings of definite labels, in upper case.
-YES = ("TRUE", "T", "1", "1.0", "YES", "Y", "SIM", "S", "VERDADEIRO", "V", "SÍ", "SI", "VERDADERO")
-NO = ("FALSE", "F", "0", "0.0", "NO", "N", "NÃO", "NAO", "FALSO")
+from ..operators.records import label_value
 
 #: Prior of an annotator's reliability, as labels they had right and wrong before.
 RIGHT, WRONG = 4.0, 1.0
-TOLERANCE, MAX_ROUNDS = 1e-3, 40
+TOLERANCE = 1e-3
+#: From this round on, messages move part of the way only, a smaller one in each round, so that they stop even where they would swing for ever.
+DAMPED_FROM = 20
 
 
 def definite(label: Column) -> Column:
     """``yes``, ``no``, or null for open, blank and unknown spellings."""
-    text = F.upper(F.regexp_replace(label, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", ""))
-    return F.when(text.isin(*YES), "yes").when(text.isin(*NO), "no")
+    value = label_value(label)
+    return F.when(value, "yes").when(~value, "no")
 
 
 def commit_refs(tables: dict[str, DataFrame]) -> DataFrame:
@@ -73,8 +72,9 @@ def one_against_rest(labels: DataFrame, positive: str) -> tuple[DataFrame, DataF
     labels: one row per (item, annotator) with ``label``. Items: ``item, n_labels,
     belief`` (probability of the class). Annotators: ``annotator, reliability,
     n_labels``: how often they are right, from the items that others labelled too
-    (the prior's mean for those without). An item of one label only gets its belief
-    at the end and moves no message. Empty labels give empty results.
+    (the prior's mean for those without); ``rounds`` and ``damped`` (whether the messages
+    only stood still as their steps became smaller). An item of one label only gets its
+    belief at the end and moves no message. Empty labels give empty results.
     """
     per_item = Window.partitionBy("item")
     sign = F.when(F.col("label") == positive, 1).otherwise(-1)
@@ -94,8 +94,12 @@ def one_against_rest(labels: DataFrame, positive: str) -> tuple[DataFrame, DataF
     fits = (1 + F.col("a") * F.col("next")) / 2
     right = F.col("p") * fits / (F.col("p") * fits + (1 - F.col("p")) * (1 - fits))
 
-    for _ in range(MAX_ROUNDS):
-        e = heard(edges, share)
+    rounds = 0
+    while True:
+        rounds += 1
+        # A step of 1 / (k + 1) at the k-th damped round: steps whose sum has no bound, but whose size goes to nothing.
+        step = 1.0 / max(1, rounds - DAMPED_FROM + 1)
+        e = heard(edges, share).withColumn("next", F.col("x") + step * (F.col("next") - F.col("x")))
         e = cut(e.select("item", "annotator", "a", "k", "p", "x", "next", "total"))
         stats = e.agg(F.max(F.when(~alone, F.abs(F.col("next") - F.col("x")))).alias("moved"), F.avg(F.when(~alone, 1 / (1 + F.exp(-F.col("total")))) / F.col("k")).alias("mass"), F.avg(F.when(~alone, 1 / F.col("k"))).alias("items")).first()
         sums = e.where(~alone).groupBy("annotator").agg(F.sum(right).alias("s"), F.count(F.lit(1)).alias("n"))
@@ -110,7 +114,8 @@ def one_against_rest(labels: DataFrame, positive: str) -> tuple[DataFrame, DataF
     edges = cut(heard(edges, share))
     items = edges.groupBy("item").agg(F.max("k").alias("n_labels"), F.max(1 / (1 + F.exp(-F.col("total")))).alias("belief"))
     annotators = edges.groupBy("annotator").agg(
-        ((RIGHT + F.coalesce(F.sum(F.when(~alone, right)), F.lit(0.0))) / (RIGHT + WRONG + F.count_if(~alone))).alias("reliability"), F.count(F.lit(1)).alias("n_labels")
+        ((RIGHT + F.coalesce(F.sum(F.when(~alone, right)), F.lit(0.0))) / (RIGHT + WRONG + F.count_if(~alone))).alias("reliability"), F.count(F.lit(1)).alias("n_labels"),
+        F.lit(rounds).alias("rounds"), F.lit(rounds > DAMPED_FROM).alias("damped"),
     )
     return items, annotators
 
@@ -120,7 +125,7 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = ("yes", "no")) -> tu
 
     Items: ``item, consensus, confidence, n_labels, agreement`` (share of pairs of its
     annotators who agree, null for one). Annotators: ``annotator, reliability,
-    n_labels``, averaged over the classes. Two classes mirror each other, so the first
+    n_labels, rounds, damped``, averaged over the classes (the most rounds of any). Two classes mirror each other, so the first
     decides; of more, the one with the highest belief wins, the earlier one on a tie.
     An item of one label keeps it, with the confidence that its annotator deserves. Null items, annotators and labels and labels of other classes are left out;
     repeated rows count once; if an annotator's labels of an item differ, the smallest
@@ -140,5 +145,5 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = ("yes", "no")) -> tu
     else:
         rows = reduce(DataFrame.unionByName, [i.withColumn("c", F.lit(c)).withColumn("o", F.lit(-k)) for k, (c, i, _) in enumerate(tried)])
         items = rows.groupBy("item").agg(F.max("n_labels").alias("n_labels"), F.max_by("c", F.struct("belief", "o")).alias("consensus"), F.max("belief").alias("confidence"))
-        annotators = reduce(DataFrame.unionByName, [a for _, _, a in tried]).groupBy("annotator").agg(F.avg("reliability").alias("reliability"), F.max("n_labels").alias("n_labels"))
+        annotators = reduce(DataFrame.unionByName, [a for _, _, a in tried]).groupBy("annotator").agg(F.avg("reliability").alias("reliability"), F.max("n_labels").alias("n_labels"), F.max("rounds").alias("rounds"), F.max("damped").alias("damped"))
     return items.join(agreement, "item").select("item", F.coalesce("only", "consensus").alias("consensus"), "confidence", "n_labels", "agreement"), annotators

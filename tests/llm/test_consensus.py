@@ -44,6 +44,20 @@ def test_agrees_with_em_and_truth(spark):
     assert all(0 <= (r.agreement if r.agreement is not None else 0) <= 1 and (r.confidence >= 0.5 or r.n_labels == 1) for r in got.values())
 
 
+def test_damping_reaches_the_same_labels(spark, monkeypatch):
+    _, rows = crowd(seed=3, n=120)
+    df = spark.createDataFrame(rows, "item string, annotator string, label string")
+    plain, who = C.consensus(df)
+    assert {r.damped for r in who.collect()} == {False}
+    monkeypatch.setattr(C, "DAMPED_FROM", 2)
+    damped, who = C.consensus(df)
+    assert {r.damped for r in who.collect()} == {True}
+    assert {r.item: r.consensus for r in plain.collect()} == {r.item: r.consensus for r in damped.collect()}
+    # annotators who contradict each other throughout still come to an end
+    swing = [(f"i{i}", a, "yes" if (i + k) % 2 else "no") for i in range(6) for k, a in enumerate("ab")]
+    assert C.consensus(spark.createDataFrame(swing, "item string, annotator string, label string"))[0].count() == 6
+
+
 def test_three_classes_and_edges(spark):
     rows = [("x", "a", "u"), ("x", "b", "u"), ("x", "c", "v"), ("y", "a", "w"), ("y", "b", "w"), ("y", "c", "w"), ("z", "c", "v"), (None, "a", "u"), ("q", None, "u"), ("q", "a", None), ("q", "b", "other"), ("x", "a", "u")]
     df = spark.createDataFrame(rows, "item string, annotator string, label string").withColumns({"k": F.lit(1), "p": F.lit("x"), "belief": F.lit(0)})

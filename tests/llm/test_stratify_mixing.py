@@ -48,6 +48,20 @@ def test_splitting_tree():
     assert M.split_quotas([], 3, 0).sum() == 0 and M.split_quotas([5], 0, 0).size == 0
 
 
+def test_tasks_split_the_tree_as_one_would(spark, monkeypatch):
+    monkeypatch.setattr(M, "TOP", 8)
+    blocks, shards = [700, 0, 91, 3], 77
+    rows = M.dealt_blocks(spark, ["a", "b", "c", "d"], blocks, shards, 5).collect()
+    want = M.split_quotas(blocks, shards, 5)
+    got = np.zeros_like(want)
+    for r in rows:
+        got[r.shard, "abcd".index(r.source)] = r.hi - r.lo + 1
+    assert (got == want).all()
+    for k, name in enumerate("abcd"):
+        assert sorted(b for r in rows if r.source == name for b in range(r.lo, r.hi + 1)) == list(range(blocks[k]))
+    assert M.dealt_blocks(spark, [], [], 3, 5).count() == 0
+
+
 def test_mix(spark):
     rows = [(i, "w " * (i % 9 + 1), s) for i, s in enumerate(["a"] * 600 + ["b"] * 30 + ["c"] * 100)] + [(900, "x", None), (901, None, "a"), (902, "", "b")]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumns({"n_tokens": F.lit("q"), "before": F.lit(1), "tokens": F.lit(2), "quota": F.lit(3)})

@@ -139,13 +139,14 @@ def length_limits(rows: DataFrame) -> DataFrame:
     return out
 
 
-def find_truncated(documents: DataFrame) -> DataFrame:
+def find_truncated(documents: DataFrame, forms: bool = True) -> DataFrame:
     """``doc_id, source, truncated, evidence`` of every row of ``documents`` (``doc_id, text, source``).
 
-    evidence, the first that holds: ``mark``, ``length`` (at the source's limit and not
-    closed), ``word`` (cut inside a word), ``open`` (running text, code or trailer
-    without its end; or a final word that never ends a sentence), ``ellipsis`` (an
-    ellipsis after something else than a common phrase); null for whole texts. Null and empty texts are
+    evidence, all that hold, joined by plus signs: ``word`` (cut inside a word by the
+    trie), ``length`` (at the source's limit), both for texts that are not closed;
+    ``mark``, ``open`` (running text, code or trailer without its end; or a final word that
+    never ends a sentence), ``ellipsis`` (an ellipsis after something else than a common
+    phrase); null for whole texts. Without ``forms``, trie and length alone decide. Null and empty texts are
     whole; rows without a source have no length evidence; repeated rows are judged
     alike; texts of any length are read whole; an empty table gives no rows. Other
     columns are ignored whatever their names.
@@ -171,10 +172,10 @@ def find_truncated(documents: DataFrame) -> DataFrame:
     at_limit = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes").between(F.col("limit_bytes") - 3, F.col("limit_bytes")), F.lit(False))
     phrase = F.coalesce(F.col("said") >= PHRASE_TEXTS, F.lit(False))
     stump, dangling = F.coalesce("stump", F.lit(False)), F.coalesce("dangling", F.lit(False))
-    evidence = (
-        F.when(F.col("form") == "marked", "mark").when(at_limit & ~closed, "length").when(stump & ~closed, "word")
-        .when((F.col("form") == "open") | (dangling & F.col("form").isin("title", "ellipsis")), "open").when((F.col("form") == "ellipsis") & ~phrase, "ellipsis")
-    )
+    clues = {"word": stump & ~closed, "length": at_limit & ~closed}
+    if forms:
+        clues |= {"mark": F.col("form") == "marked", "open": (F.col("form") == "open") | (dangling & F.col("form").isin("title", "ellipsis")), "ellipsis": (F.col("form") == "ellipsis") & ~phrase}
+    evidence = F.nullif(F.concat_ws("+", *[F.when(c, k) for k, c in clues.items()]), F.lit(""))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", evidence.isNotNull().alias("truncated"), evidence.alias("evidence"))
 
 

@@ -90,7 +90,10 @@ def test_truncated(spark):
     cut = {i for i, e in got.items() if e}
     at_limit = {i for i, t, s in rows if s == "capped" and not t.rstrip().endswith(".")}
     assert cut == at_limit | {2000, 2001, 2006, 2010}
-    assert got[2000] == "word" and got[2001] == "word" and {got[i] for i in at_limit} == {"length"}
+    clues = {i: set((e or "").split("+")) for i, e in got.items()}
+    assert "word" in clues[2000] and clues[2001] == {"word"} and all("length" in clues[i] for i in at_limit) and any(clues[i] >= {"length", "word"} for i in at_limit)
+    alone = {r.doc_id for r in T.find_truncated(docs, forms=False).where("truncated").collect()}
+    assert alone == {i for i, c in clues.items() if c & {"word", "length"}} == at_limit | {2000, 2001}
     per = {r.source: (r.n_docs, r.n_truncated) for r in T.truncation_by_source(T.find_truncated(docs)).collect()}
     assert per["capped"] == (40, len(at_limit)) and per[None] == (4, 2)
     assert T.find_truncated(docs.limit(0)).count() == 0

@@ -191,13 +191,13 @@ def percent(share: Column) -> Column:
     return F.format_string("%.2f%%", share * 100)
 
 
-# Frequent short words that tell languages apart.
+# Frequent function words that tell languages apart.
 LANGUAGE_WORDS = {
-    "en": ("the", "and", "of", "to", "in", "is", "for", "with", "that", "this", "from", "when", "not", "on", "are", "be"),
-    "pt": ("o", "de", "que", "não", "uma", "para", "com", "em", "do", "da", "os", "por", "mais", "no", "na", "um"),
-    "es": ("el", "de", "que", "no", "una", "para", "con", "en", "del", "la", "los", "por", "más", "las", "un", "se"),
-    "fr": ("le", "de", "que", "ne", "une", "pour", "avec", "dans", "du", "la", "les", "par", "pas", "des", "un", "est"),
-    "de": ("der", "und", "die", "das", "nicht", "eine", "für", "mit", "auf", "den", "dem", "ist", "ein", "zu", "von", "im"),
+    "en": tuple("the and of to is for with that this from when not on are be it was as at by an if has have will can but or we you they which there all should does did been into after before only also its their so than then more each where how what no in".split()),
+    "pt": tuple("o a e de que não uma para com em do da os por mais no na um se as dos das ao aos é são foi ser está como mas ou quando antes depois sem sobre já também pela pelo nos nas esta este isso essa esse ele ela nossa nosso cada sempre ainda à às até muito só tem".split()),
+    "es": tuple("el de que no una para con en del la los por más las un se es al lo como pero su sus está fue son ser o cuando antes después sin sobre ya también esta este esto esa ese hay desde hasta cada siempre muy nos porque y algo queda le donde entre todo".split()),
+    "fr": tuple("le de que ne une pour avec dans du la les par pas des un est et en au aux ce cette ces sur qui sont il elle nous vous se sa son ses mais ou quand avant après sans déjà aussi chaque toujours encore été être à plus leur leurs où si tout".split()),
+    "de": tuple("der und die das nicht eine für mit auf den dem ist ein zu von im in sich des es wird werden wurde sind war als auch an bei nach vor aus wenn aber oder noch nur so wie über zum zur einen einem einer sie wir kein keine schon hat haben dass".split()),
 }
 
 

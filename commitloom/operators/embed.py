@@ -6,10 +6,10 @@ pandas Series of texts to a list of vectors can take its place.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,9 @@ def embed_cached(df: DataFrame, text: str, cache: str, encode: Callable[[pd.Seri
     texts = keyed.groupBy("__h").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
     try:
         known = spark.read.parquet(cache)
-    except Exception:  # no cache yet
+    except AnalysisException as e:  # no cache yet; a damaged one fails
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         known = spark.createDataFrame([], "__h string, embedding array<float>")
     fresh = embed_with(texts.join(known, "__h", "left_anti"), "__t", encode).select("__h", "embedding")
     fresh.write.mode("append").parquet(cache)
@@ -63,8 +65,3 @@ def reduce_pca(df: DataFrame, vector: str, k: int = 5, out: str = "reduced") ->
     signs = [1.0 if load[abs(load[:, j]).argmax(), j] >= 0 else -1.0 for j in range(load.shape[1])]
     flip = F.array(*[F.lit(s) for s in signs])
     return model.transform(rows).withColumn(out, F.zip_with(vector_to_array("__p"), flip, lambda a, b: a * b)).drop("__v", "__n", "__p")
-
-
-def cache_exists(path: str) -> bool:
-    """Whether a local cache folder has anything in it."""
-    return os.path.isdir(path) and any(os.scandir(path))

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.instants import to_instant
+from ..config import settings
 from ..lineage import ensure_checkpoint_dir
 from ..operators import density, diff, embed, fold, hcl, records, report, sampling, stats, tokens
 from ..sources import connectors
 from ..sources.tables import table
 from ..streaming.ingest import windowed_counts
+from . import pipelines
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -114,6 +116,18 @@ def message_languages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang", text.language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_UNICODE_WORDS = r"list_filter(regexp_split_to_array(coalesce(message, ''), '[\s\x0b\x{85}\p{Z}]+'), lambda w: w <> '')"
+
+
+@_query(f"""
+    WITH t AS (SELECT message, {_tidy_sql(f"coalesce(nullif({_content_sql()}, ''), {_FIRST})", True)} AS semantic FROM {_MESSAGES})
+    SELECT message, semantic, len({_UNICODE_WORDS}) AS n_words, CASE WHEN length(message) > 40 THEN message[1:40] || '...' ELSE message END AS short,
+        printf('%.2f%%', 100.0 * len({_UNICODE_WORDS}) / 97) AS density FROM t""")
+def message_measures(spark: SparkSession, d: str) -> DataFrame:
+    m, n = F.col("message"), text.word_count(F.col("message"))
+    return _messages(spark, d).select("message", text.clean_message_semantic(m).alias("semantic"), n.cast("bigint").alias("n_words"), text.truncate(m, 40).alias("short"), text.percent(n / 97).alias("density"))
+
+
 # ---- paths
 
 _PATH = r"regexp_replace(lower(regexp_replace(replace(file, '\', '/'), '/+', '/', 'g')), '^/|/$', '', 'g')"
@@ -317,6 +331,21 @@ def label_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("annotator", F.coalesce(records.label_value(F.col("is_bugfix")).cast("string"), F.lit("open")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("commit_URL").alias("n_urls"))
 
 
+@_query("SELECT DISTINCT commit_hash FROM mined_data UNION SELECT DISTINCT regexp_extract(lower(commit_URL), '/commits?/([0-9a-f]{40})', 1) FROM sample_heleno")
+def seen_union(spark: SparkSession, d: str) -> DataFrame:
+    labelled = table(spark, d, "sample_heleno").select(F.regexp_extract(F.lower("commit_URL"), "/commits?/([0-9a-f]{40})", 1).alias("commit_hash"))
+    return records.seen_union(table(spark, d, "mined_data"), labelled, "commit_hash")
+
+
+@_query(f"""
+    WITH {_FOLDED} SELECT repo AS repo_name, commit_hash, msg_clean FROM folded WHERE NOT is_merge AND msg_clean IS NOT NULL AND relevant
+        AND (repo, commit_hash) IN (SELECT (repo, commit_hash) FROM (SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY {_RANK}, coalesce(file, ''), {_DIGEST}) AS rn FROM {_KEYED}) r WHERE rn = 1 AND coalesce(patch, '') <> '' AND file IS NOT NULL)""")
+def clustering_input(spark: SparkSession, d: str) -> DataFrame:
+    """Commits to cluster: no merges, with a relevant file and a patch."""
+    folded = fold.fold_commits(table(spark, d, "mined_data"), _order())
+    return pipelines.clustering_input(folded, settings(require_patch=True)).select("repo_name", "commit_hash", "msg_clean")
+
+
 # ---- statistics
 
 
@@ -648,6 +677,36 @@ def spanning_edges(spark: SparkSession, d: str) -> DataFrame:
     return density.spanning_edges(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
+@_query("""
+    WITH p AS (SELECT a.vec_id, b.vec_id AS other, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b),
+    c AS (SELECT vec_id, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rn FROM p) t WHERE rn = 10)
+    SELECT p.vec_id, round(min(greatest(d, a.core, b.core)), 4) AS nearest FROM p JOIN c a ON a.vec_id = p.vec_id JOIN c b ON b.vec_id = p.other WHERE p.vec_id <> p.other GROUP BY 1""")
+def spanning_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's lightest edge in the spanning tree, which is the lightest of all its edges."""
+    edges = spanning_edges(spark, d)
+    ends = edges.select(F.col("src").alias("vec_id"), "weight").union(edges.select("dst", "weight"))
+    return ends.groupBy("vec_id").agg(F.round(F.min("weight"), 4).alias("nearest"))
+
+
+@_query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, 0::BIGINT AS n_small_clusters, 0::BIGINT AS n_odd_probabilities FROM embeddings")
+def density_check(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled rows, clusters below the smallest size, probabilities outside of 0 to 1 or of noise."""
+    vectors = table(spark, d, "embeddings")
+    size, samples = density.cluster_parameters(vectors.count())
+    rows = density.cluster_by_density(vectors, "vec_id", "embedding", size, samples)
+    small = rows.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") < size).alias("n_small_clusters"))
+    odd = ~F.col("probability").between(0, 1) | (F.col("label") == -1) & (F.col("probability") != 0)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("vec_id").alias("n_ids"), F.count_if(odd).alias("n_odd_probabilities")).join(small, F.lit(True))
+
+
+@_query("SELECT count(*) AS n_docs, count(*) FILTER (regexp_matches(coalesce(text, ''), '[^\\s\\x0b\\x{85}\\p{Z}]')) AS n_unit FROM documents")
+def tfidf_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and those whose vector has length 1: all but blank ones."""
+    rows = embed.tfidf(table(spark, d, "documents"), F.col("text"), 256)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.abs(norm - 1) < 1e-6).alias("n_unit"))
+
+
 @_query()
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")

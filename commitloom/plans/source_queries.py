@@ -10,11 +10,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import settings
 from ..lineage import ensure_checkpoint_dir
 from ..operators import report, tokens
 from ..operators.records import priority_union
 from ..sources import connectors, files, sinks
 from ..sources.tables import table
+from . import pipelines
 from .corpus_queries import SQL as CORPUS_SQL
 from .corpus_queries import top_bigrams
 
@@ -71,19 +73,30 @@ def phrase_words(spark: SparkSession, d: str) -> DataFrame:
     return tokens.parse_suggestions(top_bigrams(spark, d), "bigram")
 
 
-def search_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Saved search results, read by the search source: each repository once, from the earliest list that has it."""
+def _saved_searches(spark: SparkSession, d: str) -> str:
+    """Three lists of repositories as JSON: by stars, by commits, all."""
     folder = _local(_folder(spark, "search"))
-    rows = table(spark, d, "clone_summary").where("repo IS NOT NULL").orderBy("repo", "stars", "commits").collect()  # does not grow
+    rows = table(spark, d, "clone_summary").where("repo IS NOT NULL").orderBy(F.desc("stars"), F.desc("commits"), "repo").collect()  # does not grow
     for i, keep in enumerate((lambda r: (r.stars or 0) >= 1500, lambda r: (r.commits or 0) >= 300, lambda r: True)):
         (folder / f"{i}.json").write_text(json.dumps([{"repo_full_name": r.repo, "stars": r.stars, "forks": None, "commits": r.commits} for r in rows if keep(r)]))
     connectors.register(spark)
-    found = spark.read.format("repo_search").option("path", str(folder)).load()
+    return str(folder)
+
+
+def search_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Saved search results, read by the search source: each repository once, from the earliest list that has it."""
+    folder = _saved_searches(spark, d)
+    found = spark.read.format("repo_search").option("path", folder).load()
     lists = [found.where(F.col("priority") == i).drop("priority", "position") for i in range(3)]
     order = [F.coalesce("stars", F.lit(-1)).desc(), F.col("commits").desc()]
     return priority_union(lists, "repo_full_name", order).select(F.col("repo_full_name").alias("repo"), "stars", "commits", "priority")
 
 
+def discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories of saved search results with enough stars and commits, each once, at most 40."""
+    return pipelines.discover(spark, _saved_searches(spark, d), settings(stars=300, min_commits=50, limit=40, exclude_keywords=["demo"])).select(F.col("repo_full_name").alias("repo"), "stars", "commits")
+
+
 def git_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A clone with one commit a nation, which adds a line to the file of its region, read by the log source in slices."""
     clone = _local(_folder(spark, "clone"))
@@ -103,7 +116,7 @@ def git_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return log.select("message", "file", "patch_kind", added.cast("bigint").alias("n_added"))
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, csv_round_trip, bigram_round_trip, stop_word_round_trip, phrase_words, search_round_trip, git_log_round_trip)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, csv_round_trip, bigram_round_trip, stop_word_round_trip, phrase_words, search_round_trip, discovery, git_log_round_trip)}
 
 _PHRASE_WORDS = f"SELECT DISTINCT token FROM (SELECT unnest(string_split(bigram, ' ')) AS token FROM ({CORPUS_SQL['top_bigrams']}) b) t WHERE length(token) > 1 AND NOT regexp_matches(token, '^[0-9]+$')"
 
@@ -119,5 +132,10 @@ SQL = {
         WITH c AS (SELECT repo, stars, coalesce(commits, 0) AS commits FROM clone_summary WHERE repo IS NOT NULL), l AS (
             SELECT *, 0 AS priority FROM c WHERE stars >= 1500 UNION ALL SELECT *, 1 FROM c WHERE commits >= 300 UNION ALL SELECT *, 2 FROM c)
         SELECT repo, stars, commits, priority FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY priority, coalesce(stars, -1) DESC, commits DESC) AS rn FROM l) t WHERE rn = 1""",
+    "discovery": """
+        WITH c AS (SELECT repo, stars, coalesce(commits, 0) AS commits FROM clone_summary WHERE repo IS NOT NULL), l AS (
+            SELECT *, 0 AS priority FROM c WHERE stars >= 1500 UNION ALL SELECT *, 1 FROM c WHERE commits >= 300 UNION ALL SELECT *, 2 FROM c),
+        k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY priority, stars DESC, commits DESC) AS rn FROM l WHERE NOT contains(lower(repo), 'demo') AND coalesce(stars, 0) >= 300 AND commits >= 50)
+        SELECT repo, stars, commits FROM k WHERE rn = 1 ORDER BY priority, stars DESC, commits DESC, repo LIMIT 40""",
     "git_log_round_trip": "SELECT n_name AS message, 'region' || n_regionkey || '.tf' AS file, 'diff' AS patch_kind, 1::BIGINT AS n_added FROM nation",
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from ..functions.paths import is_infra_file
 from ..functions.text import has_keyword
@@ -29,10 +28,6 @@ def ingest_jsonl(spark: SparkSession, source: str, target: str, checkpoint: str,
     return rows.writeStream.foreachBatch(lambda df, _: append_mined(df, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_parquet(spark: SparkSession, path: str, kind: StructType) -> DataFrame:
-    return spark.readStream.schema(kind).parquet(path)
-
-
 def windowed_counts(events: DataFrame, ts: str, key: str, value: Column, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """``window_start, key, n, total``: counts and sums by event time, batch or stream; late rows beyond the watermark are dropped by streams."""
     rows = events.withWatermark(ts, late) if events.isStreaming else events

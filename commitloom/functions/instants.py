@@ -17,6 +17,19 @@ GIT_FORMATS = (
 )
 
 
+def date_text(date: Column) -> Column:
+    """A date string without the name of its day and with single blanks."""
+    text = F.regexp_replace(F.trim(date), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? +", "")
+    return F.regexp_replace(text, r" {2,}", " ")
+
+
+def instant_of(text: Column) -> Column:
+    """The instant that a :func:`date_text` names, or null. ``text`` occurs many times in the result, so it had better be a column of its own."""
+    raw = F.regexp_extract(text, r"^@?(\d{9,11}) [+-]\d{4}$", 1)
+    parsed = [F.try_to_timestamp(text, F.lit(f)) for f in GIT_FORMATS]
+    return F.coalesce(*parsed, F.when(raw != "", F.timestamp_seconds(raw.cast("bigint"))))
+
+
 def to_instant(date: Column) -> Column:
     """The instant a date string names, or null.
 
@@ -24,8 +37,4 @@ def to_instant(date: Column) -> Column:
     styles. Text that names no real instant (words, impossible days, a day
     without a time, null, empty) gives null, never an error.
     """
-    text = F.regexp_replace(F.trim(date), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? +", "")
-    text = F.regexp_replace(text, r" {2,}", " ")
-    raw = F.regexp_extract(text, r"^@?(\d{9,11}) [+-]\d{4}$", 1)
-    parsed = [F.try_to_timestamp(text, F.lit(f)) for f in GIT_FORMATS]
-    return F.coalesce(*parsed, F.when(raw != "", F.timestamp_seconds(raw.cast("bigint"))))
+    return instant_of(date_text(date))

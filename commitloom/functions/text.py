@@ -56,9 +56,9 @@ def clean_basic(message: Column, unicode: bool = True) -> Column:
 def _tidy(line: Column, max_len: int, unicode: bool) -> Column:
     text = F.lower(F.regexp_replace(line, _u(ISSUE, unicode), " "))
     text = F.regexp_replace(F.regexp_replace(text, _u(URL, unicode), " "), _u(r"\s+", unicode), " ")
-    text = F.trim(text)
-    cut = F.regexp_replace(F.substring(text, 1, max_len), r" [^ ]*$", "")
-    return F.nullif(F.when(F.length(text) > max_len, cut).otherwise(text), F.lit(""))
+    # A longer text ends before the last blank of its first ``max_len`` characters, or with them if there is none.
+    cut = rf"(?s)^(?=.{{{max_len + 1}}})(?:(.{{0,{max_len - 1}}}) .*|(.{{{max_len}}}).*)$"
+    return F.nullif(F.regexp_replace(F.trim(text), cut, "$1$2"), F.lit(""))
 
 
 def clean_message(message: Column, max_len: int = 150, unicode: bool = True) -> Column:
@@ -77,8 +77,8 @@ def merge_content(message: Column, unicode: bool = True) -> Column:
         groups = re.compile(form).groups
         branch = F.regexp_replace(F.regexp_extract(message, rx, 1), r"[-_]+", " ")
         branch = F.trim(F.regexp_replace(branch, _u(r"[^\w\s]", unicode), " "))
-        title = strip(F.regexp_extract(message, rx, 2), unicode) if groups > 1 else F.lit("")
-        both = F.when((title != "") & (F.lower(title) != F.lower(branch)), F.concat_ws(" ", branch, title)).when(title != "", title).otherwise(branch)
+        title = strip(F.regexp_extract(message, rx, 2), unicode) if groups > 1 else None
+        both = F.concat_ws(" ", F.when(F.lower(title) != F.lower(branch), branch), F.nullif(title, F.lit(""))) if groups > 1 else branch
         out = F.when(message.rlike(rx), both) if out is None else F.when(message.rlike(rx), both).otherwise(out)
     return out
 
@@ -95,7 +95,7 @@ def is_merge(message: Column) -> Column:
 
 def is_generic_merge(message: Column, cleaned: Column) -> Column:
     """A merge whose cleaned text says nothing but that it is one."""
-    return is_merge(message) & (F.coalesce(cleaned, F.lit("")) == "") | is_merge(message) & F.coalesce(cleaned.rlike(r"^merge (?:pull request|branch)"), F.lit(False))
+    return is_merge(message) & F.coalesce(cleaned.rlike(r"^(?:merge (?:pull request|branch)|$)"), F.lit(True))
 
 
 def has_keyword(message: Column, keywords: tuple[str, ...] = FIX_KEYWORDS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..functions.instants import to_instant
+from ..functions.instants import date_text, instant_of, to_instant
 
 
 def required(df: DataFrame, *columns: str) -> DataFrame:
@@ -48,6 +48,38 @@ def fold_commits(records: DataFrame, order: Column) -> DataFrame:
     )
 
 
+def _rank(file: Column) -> Column:
+    """The place of a file's extension in the order of relevance, 99 for others."""
+    place = F.array_position(F.array(*[F.lit(e) for e in paths.EXTENSION_ORDER]), F.coalesce(paths.extension(file), F.lit("")))
+    return F.coalesce(F.nullif(place, F.lit(0).cast("bigint")), F.lit(99).cast("bigint"))
+
+
+def summarise_commits(records: DataFrame, order: Column, lines: int = 10) -> DataFrame:
+    """What the steps after folding need of each commit, without its list of files: the scalars of
+    :func:`fold_commits`, ``n_files``, ``best`` as :func:`best_modification`, ``relevant, only_vendor, touches_vendor``.
+
+    Every state is small and combined before the shuffle, and of a patch only its first
+    ``lines`` travel, so commits of any number of files are as cheap as their records.
+    """
+    rows = required(records, "repo", "commit_hash").withColumn("__d", date_text(F.col("date")))
+    has = F.coalesce(F.col("patch"), F.lit("")) != ""
+    best = F.struct(F.when(has, F.col("file")).alias("file"), F.when(has, F.substring_index("patch", "\n", lines)).otherwise("").alias("excerpt"))
+    one = F.array("file")  # the predicates on lists of files, for a list of one
+    rows = rows.select(
+        "repo", "commit_hash", F.struct("author", instant_of(F.col("__d")).alias("author_date"), "message").alias("__f"), best.alias("__b"), _rank(F.col("file")).alias("__r"), order.alias("__o"),
+        paths.any_relevant(one).alias("__relevant"), (F.trim(F.coalesce("file", F.lit(""))) != "").alias("__named"), paths.only_vendor(one).alias("__vendor"), paths.touches_vendor(one).alias("__touches"),
+    )
+    out = rows.groupBy("repo", "commit_hash").agg(
+        F.min_by("__f", "__o").alias("__f"), F.min_by("__b", F.struct("__r", "__o")).alias("best"), F.count(F.lit(1)).alias("n_files"), F.bool_or("__relevant").alias("relevant"),
+        F.coalesce(F.bool_and(F.when(F.col("__named"), F.col("__vendor"))), F.lit(False)).alias("only_vendor"), F.bool_or("__touches").alias("touches_vendor"),
+    ).select("repo", "commit_hash", "__f.*", "best", "n_files", "relevant", "only_vendor", "touches_vendor")
+    cleaned = text.clean_message_semantic(F.col("message"))
+    return out.select(
+        F.col("repo").alias("repo_name"), "commit_hash", F.col("message").alias("msg_original"), cleaned.alias("msg_clean"), F.col("author").alias("author_name"), "author_date",
+        text.is_generic_merge(F.col("message"), cleaned).alias("is_merge"), "best", "n_files", "relevant", "only_vendor", "touches_vendor",
+    )
+
+
 def best_modification(modifications: Column, lines: int = 10) -> Column:
     """``file, excerpt`` of the modification whose extension ranks highest, the first one on a tie.
 
@@ -56,8 +88,7 @@ def best_modification(modifications: Column, lines: int = 10) -> Column:
     ranks = F.transform(
         modifications,
         lambda m, i: F.struct(
-            F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(e) for e in paths.EXTENSION_ORDER]), F.coalesce(paths.extension(m["filename"]), F.lit(""))), F.lit(0).cast("bigint")), F.lit(99).cast("bigint")).alias("rank"),
-            i.alias("i"), m["filename"].alias("file"), m["diff"].alias("diff"),
+            _rank(m["filename"]).alias("rank"), i.alias("i"), m["filename"].alias("file"), m["diff"].alias("diff"),
         ),
     )
     best = F.array_min(ranks)
@@ -76,14 +107,16 @@ def files_joined(modifications: Column) -> Column:
     return F.array_join(F.transform(modifications, lambda m: F.coalesce(m["filename"], F.lit("unknown_file"))), ";")
 
 
-def eligible(folded: DataFrame, require_patch: bool = False) -> DataFrame:
-    """Sample rows of the commits that are no merges and have a cleaned message and a relevant file."""
-    best = best_modification(F.col("modifications"))
-    rows = folded.where(~F.col("is_merge") & F.col("msg_clean").isNotNull() & paths.any_relevant(F.transform("modifications", lambda m: m["filename"]))).withColumn("__b", best)
+def eligible(commits: DataFrame, require_patch: bool = False) -> DataFrame:
+    """Sample rows of the commits (folded or summarised) that are no merges and have a cleaned message and a relevant file."""
+    if "modifications" in commits.columns:
+        commits = commits.withColumns({"best": best_modification(F.col("modifications")), "relevant": paths.any_relevant(F.transform("modifications", lambda m: m["filename"]))})
+    # Relevance first and the cleaned message last, so that the filter below stays one short expression.
+    rows = commits.where("relevant").where(~F.col("is_merge")).where(F.col("msg_clean").isNotNull())
     if require_patch:
-        rows = rows.where(F.col("__b.file").isNotNull() & (F.col("__b.excerpt") != ""))
+        rows = rows.where(F.col("best.file").isNotNull() & (F.col("best.excerpt") != ""))
     return rows.select(
-        "commit_hash", "repo_name", "msg_clean", F.coalesce("__b.file", F.lit("not_extracted")).alias("file"), F.coalesce(F.nullif("__b.excerpt", F.lit("")), F.lit("not_extracted")).alias("patch_excerpt"),
+        "commit_hash", "repo_name", "msg_clean", F.coalesce("best.file", F.lit("not_extracted")).alias("file"), F.coalesce(F.nullif("best.excerpt", F.lit("")), F.lit("not_extracted")).alias("patch_excerpt"),
         "author_date", F.length("msg_clean").alias("msg_len"),
     )
 

@@ -32,23 +32,25 @@ def corpus_overview(commits: DataFrame, message: str, repo: str, when: str, unic
     )
 
 
-def commit_traits(folded: DataFrame, message: str, files: Column, cleaned: Column, unicode: bool = True) -> DataFrame:
-    """One row: ``n_commits, n_generic_merges, n_only_vendor, n_touch_vendor, n_non_english`` of folded commits.
+def commit_traits(commits: DataFrame) -> DataFrame:
+    """One row: ``n_commits, n_generic_merges, n_only_vendor, n_touch_vendor, n_non_english`` of summarised commits.
 
-    ``files`` is an array of a commit's file names. Messages without letters have no language.
+    Messages without letters have no language.
     """
-    line = text.first_line(F.col(message))
-    return folded.agg(
-        F.count(F.lit(1)).alias("n_commits"), F.count_if(text.is_generic_merge(F.col(message), cleaned)).alias("n_generic_merges"),
-        F.count_if(F.coalesce(paths.only_vendor(files), F.lit(False))).alias("n_only_vendor"), F.count_if(F.coalesce(paths.touches_vendor(files), F.lit(False))).alias("n_touch_vendor"),
+    line = text.first_line(F.col("msg_original"))
+    return commits.agg(
+        F.count(F.lit(1)).alias("n_commits"), F.count_if("is_merge").alias("n_generic_merges"), F.count_if("only_vendor").alias("n_only_vendor"), F.count_if("touches_vendor").alias("n_touch_vendor"),
         F.count_if(line.rlike(r"\p{L}") & (text.language(line) != "en")).alias("n_non_english"),
     )
 
 
-def extension_counts(commits: DataFrame, files: Column) -> DataFrame:
-    """``ext, n_commits``: commits that touch each extension; files without one are left out."""
-    exts = F.array_distinct(F.transform(F.filter(files, lambda f: f.isNotNull()), paths.extension))
-    return commits.select(F.explode(exts).alias("ext")).where("ext <> ''").groupBy("ext").agg(F.count(F.lit(1)).alias("n_commits"))
+def extension_counts(records: DataFrame, commit: list[str], file: str) -> DataFrame:
+    """``ext, n_commits``: commits (by their key columns) that touch each extension; files without one are left out.
+
+    Counted as distinct (commit, extension) first, so no commit's files meet.
+    """
+    pairs = records.where(F.col(file).isNotNull()).select(*commit, paths.extension(F.col(file)).alias("ext")).where("ext <> ''").distinct()
+    return pairs.groupBy("ext").agg(F.count(F.lit(1)).alias("n_commits"))
 
 
 def shares(df: DataFrame, key: Column, name: str) -> DataFrame:

@@ -147,10 +147,7 @@ def path_predicates(spark: SparkSession, d: str) -> DataFrame:
         coalesce(bool_and(trim(file) LIKE 'vendor/%') FILTER (trim(file) <> ''), false) AS only_vendor, coalesce(bool_or(regexp_matches(file, '(?i)vendor/')), false) AS touches_vendor
     FROM mined_data WHERE repo <> '' AND commit_hash <> '' GROUP BY 1, 2""")
 def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = fold.required(table(spark, d, "mined_data"), "repo", "commit_hash").groupBy("repo", "commit_hash").agg(F.collect_set("file").alias("files"))
-    return rows.select(
-        "repo", "commit_hash", paths.any_relevant(F.col("files")).alias("relevant"), paths.only_vendor(F.col("files")).alias("only_vendor"), paths.touches_vendor(F.col("files")).alias("touches_vendor")
-    )
+    return _commits(spark, d).select(F.col("repo_name").alias("repo"), "commit_hash", "relevant", "only_vendor", "touches_vendor")
 
 
 @_query("""
@@ -171,6 +168,10 @@ def _order() -> Column:
     return fold.content_order(*_FIELDS)
 
 
+def _commits(spark: SparkSession, d: str) -> DataFrame:
+    return fold.summarise_commits(table(spark, d, "mined_data"), _order())
+
+
 _RANK = "CASE lower(regexp_extract(string_split(coalesce(file, ''), '/')[-1], '^.+(\\.[^.]*)$', 1)) " + " ".join(f"WHEN '{e}' THEN {i + 1}" for i, e in enumerate(paths.EXTENSION_ORDER)) + " ELSE 99 END"
 _KEYED = "mined_data WHERE repo <> '' AND commit_hash <> ''"
 
@@ -191,8 +192,7 @@ def fold_commits(spark: SparkSession, d: str) -> DataFrame:
     SELECT repo AS repo_name, commit_hash, CASE WHEN coalesce(patch, '') <> '' THEN file END AS file,
         CASE WHEN coalesce(patch, '') <> '' THEN array_to_string(string_split(patch, chr(10))[1:10], chr(10)) ELSE '' END AS excerpt FROM r WHERE rn = 1""")
 def best_modification(spark: SparkSession, d: str) -> DataFrame:
-    folded = fold.fold_commits(table(spark, d, "mined_data"), _order())
-    return folded.select("repo_name", "commit_hash", fold.best_modification(F.col("modifications")).alias("b")).select("repo_name", "commit_hash", "b.file", "b.excerpt")
+    return _commits(spark, d).select("repo_name", "commit_hash", "best.file", "best.excerpt")
 
 
 @_query(f"""
@@ -223,7 +223,7 @@ _BEST = f"""
     WITH {_FOLDED}, {_BEST} SELECT commit_hash, repo AS repo_name, msg_clean, coalesce(b.file, 'not_extracted') AS file, coalesce(nullif(b.excerpt, ''), 'not_extracted') AS patch_excerpt,
         ts AT TIME ZONE 'UTC' AS author_date, length(msg_clean) AS msg_len FROM folded JOIN best b USING (repo, commit_hash) WHERE NOT is_merge AND msg_clean IS NOT NULL AND relevant""")
 def eligible_commits(spark: SparkSession, d: str) -> DataFrame:
-    rows = fold.eligible(fold.fold_commits(table(spark, d, "mined_data"), _order()))
+    rows = fold.eligible(_commits(spark, d))
     return rows.withColumn("author_date", F.col("author_date").cast("timestamp_ntz"))
 
 
@@ -231,8 +231,7 @@ def eligible_commits(spark: SparkSession, d: str) -> DataFrame:
     WITH {_FOLDED} SELECT count(*) AS n_commits, count(*) FILTER (is_merge) AS n_generic_merges, count(*) FILTER (only_vendor) AS n_only_vendor, count(*) FILTER (touches_vendor) AS n_touch_vendor,
         count(*) FILTER (regexp_matches({_FIRST}, '\\p{{L}}') AND {_language_sql(_FIRST)} <> 'en') AS n_non_english FROM folded""")
 def commit_traits(spark: SparkSession, d: str) -> DataFrame:
-    folded = fold.fold_commits(table(spark, d, "mined_data"), _order())
-    return stats.commit_traits(folded, "msg_original", F.transform("modifications", lambda m: m["filename"]), F.col("msg_clean"))
+    return stats.commit_traits(_commits(spark, d))
 
 
 @_query("""
@@ -342,8 +341,7 @@ def seen_union(spark: SparkSession, d: str) -> DataFrame:
         AND (repo, commit_hash) IN (SELECT (repo, commit_hash) FROM (SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY {_RANK}, coalesce(file, ''), {_DIGEST}) AS rn FROM {_KEYED}) r WHERE rn = 1 AND coalesce(patch, '') <> '' AND file IS NOT NULL)""")
 def clustering_input(spark: SparkSession, d: str) -> DataFrame:
     """Commits to cluster: no merges, with a relevant file and a patch."""
-    folded = fold.fold_commits(table(spark, d, "mined_data"), _order())
-    return pipelines.clustering_input(folded, settings(require_patch=True)).select("repo_name", "commit_hash", "msg_clean")
+    return pipelines.clustering_input(_commits(spark, d), settings(require_patch=True)).select("repo_name", "commit_hash", "msg_clean")
 
 
 # ---- statistics
@@ -365,8 +363,7 @@ def corpus_overview(spark: SparkSession, d: str) -> DataFrame:
     WITH e AS (SELECT DISTINCT repo, commit_hash, lower(regexp_extract(string_split(file, '/')[-1], '^.+(\.[^.]*)$', 1)) AS ext FROM mined_data WHERE repo <> '' AND commit_hash <> '' AND file IS NOT NULL)
     SELECT ext, count(*) AS n_commits FROM e WHERE ext <> '' GROUP BY 1""")
 def extension_counts(spark: SparkSession, d: str) -> DataFrame:
-    per = fold.required(table(spark, d, "mined_data"), "repo", "commit_hash").groupBy("repo", "commit_hash").agg(F.collect_set("file").alias("files"))
-    return stats.extension_counts(per, F.col("files"))
+    return stats.extension_counts(fold.required(table(spark, d, "mined_data"), "repo", "commit_hash"), ["repo", "commit_hash"], "file")
 
 
 @_query("""
@@ -428,9 +425,8 @@ def corpus_checks(spark: SparkSession, d: str) -> DataFrame:
     FULL OUTER JOIN (SELECT repo AS r, count(*) AS c FROM {_KEYED} GROUP BY 1) b ON repo IS NOT DISTINCT FROM r WHERE n IS DISTINCT FROM c""")
 def recount(spark: SparkSession, d: str) -> DataFrame:
     """Records of each repository against the sizes of its folded commits; those that folding leaves out differ."""
-    mined = table(spark, d, "mined_data")
-    folded = fold.fold_commits(mined, _order()).groupBy(F.col("repo_name").alias("repo")).agg(F.sum(F.size("modifications")).alias("n"))
-    return stats.recount(mined, folded, "repo", "n")
+    sizes = _commits(spark, d).groupBy(F.col("repo_name").alias("repo")).agg(F.sum("n_files").alias("n"))
+    return stats.recount(table(spark, d, "mined_data"), sizes, "repo", "n")
 
 
 # ---- tokens

@@ -1,7 +1,9 @@
+import json
 import time
 
 from pyspark.sql import functions as F
 
+from commitloom.functions import paths
 from commitloom.operators import diff, fold, hotkeys, records, running, sampling, stats, tokens
 
 PATCH = """--- a/network/dns.tf
@@ -79,8 +81,47 @@ def test_priority_union_and_filters(spark):
     assert sorted((r.name, r.stars) for r in got.collect()) == [("My-Demo", 99), ("x", 1), ("y", 5)]
     kept = records.repository_filter(b.withColumn("commits", F.lit(None).cast("int")), "name", "stars", "commits", 5, 0, ("demo",))
     assert sorted(r.name for r in kept.collect()) == ["x", "y"]
-    s = records.mining_summary(b.withColumns({"status": F.lit("success"), "commits": F.lit(2)}), "name", "stars", "status", "commits").first().summary
-    assert '"My-Demo"' in s and '"success":3' in s
+    runs = spark.createDataFrame([("x", 5, "success", 3), ("x", 5, "clone_failed", None), ("y", None, None, 0), ("My-Demo", 9, "success", 2)], "name string, stars int, status string, commits int")
+    one = records.mining_summary(runs, "name", "stars", "status", "commits", {"stars": 10, "limit": None})
+    r = one.first()
+    assert (r.total_repositories_found, r.total_repositories_successful_clone, r.total_repositories_commits_mined_at_least_one, r.total_commits) == (4, 3, 2, 5)
+    assert [tuple(x) for x in r.top_repositories_by_stars] == [("My-Demo", 9), ("x", 5), ("x", 5), ("y", None)] and [tuple(x) for x in r.statuses] == [("clone_failed", 1), ("success", 2), ("unknown", 1)]
+    assert json.loads(records.summary_json(one).first().summary)["parameters"] == {"stars": "10", "limit": "None"}
+    assert rows(records.processed_repositories(runs, "name", "status", "commits")) == [("My-Demo", 1, "success", 2), ("x", 2, "success", 3), ("y", 1, None, 0)]
+    labels = spark.createDataFrame([("sim",), ("\u00a0FALSO ",), ("Yes",), ("?",), (None,), ("n",)], "v string").select(records.label_value(F.col("v")).alias("r"))
+    assert [x.r for x in labels.collect()] == [True, False, True, None, None, False]
+
+
+def test_summaries_say_what_folded_commits_say(mined):
+    files = [None, "", "main.tf", "vendor/a.tf", " vendor/b.go", "docs/a.md", "x/VENDOR/y.py", "test/fixtures/z.sh"]
+    patches = [None, "", "\n".join(map(str, range(14))), "one", "a\nb\n"]
+    df = mined([
+        {"repo": "r", "commit_hash": f"c{i % 60}", "file": files[i * 7 % len(files)], "patch": patches[i * 3 % len(patches)], "message": ["Merge branch 'main'", "Fix a", None, "Merge pull request #1 from a/b-c\n\nTitle"][i % 4], "date": "2024-01-01T00:00:00Z"}
+        for i in range(200)
+    ] + [{"repo": "", "commit_hash": "x"}, {"repo": "r", "commit_hash": None}])
+    order = fold.content_order("file", "patch", "message", "date", "author")
+    folded, short = fold.fold_commits(df, order), fold.summarise_commits(df, order)
+    names = F.transform("modifications", lambda m: m["filename"])
+    want = folded.select(
+        "commit_hash", "msg_original", "msg_clean", "is_merge", "author_date", fold.best_modification(F.col("modifications")).alias("best"), F.size("modifications").alias("n"),
+        paths.any_relevant(names).alias("a"), paths.only_vendor(names).alias("b"), paths.touches_vendor(names).alias("c"),
+    )
+    got = short.select("commit_hash", "msg_original", "msg_clean", "is_merge", "author_date", "best", F.col("n_files").alias("n"), F.col("relevant").alias("a"), F.col("only_vendor").alias("b"), F.col("touches_vendor").alias("c"))
+    key = lambda r: r.commit_hash
+    assert [tuple(r) for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(want.collect(), key=key)]
+    assert {r.commit_hash for r in fold.eligible(short, True).collect()} == {r.commit_hash for r in fold.eligible(folded, True).collect()}
+    assert short.where("false").count() == fold.summarise_commits(df.limit(0), order).count() == 0
+
+
+def test_checks_of_samples(spark):
+    days = F.timestamp_seconds(F.col("id") * 86400 + 1_598_918_400)
+    df = spark.range(700).select("id", F.when(F.col("id") < 690, days).alias("at"), (F.col("id") % 10).alias("len"))
+    same = {r.check: (r.value, r.ok) for r in stats.corpus_checks(df, df, "at", F.col("len"), 700, at_least=5).collect()}
+    assert same == {"sample_rows": (700.0, True), "thin_months": (0.0, True), "yearly_drift": (0.0, True), "median_drift": (0.0, True), "undated": (10 / 700, True)}
+    part = {r.check: r.ok for r in stats.corpus_checks(df, df.where("id < 40 AND len > 7"), "at", F.col("len"), 700).collect()}
+    assert part == {"sample_rows": False, "thin_months": False, "yearly_drift": False, "median_drift": False, "undated": True}
+    counts = df.groupBy("len").agg(F.count(F.lit(1)).alias("n"))
+    assert stats.recount(df, counts, "len", "n").first().ok and stats.recount(df, counts.where("len <> 3"), "len", "n").first().value == 1
 
 
 def test_statistics(spark):

@@ -73,10 +73,11 @@ def summarise_commits(records: DataFrame, order: Column, lines: int = 10) -> Dat
         F.min_by("__f", "__o").alias("__f"), F.min_by("__b", F.struct("__r", "__o")).alias("best"), F.count(F.lit(1)).alias("n_files"), F.bool_or("__relevant").alias("relevant"),
         F.coalesce(F.bool_and(F.when(F.col("__named"), F.col("__vendor"))), F.lit(False)).alias("only_vendor"), F.bool_or("__touches").alias("touches_vendor"),
     ).select("repo", "commit_hash", "__f.*", "best", "n_files", "relevant", "only_vendor", "touches_vendor")
-    cleaned = text.clean_message_semantic(F.col("message"))
-    return out.select(
-        F.col("repo").alias("repo_name"), "commit_hash", F.col("message").alias("msg_original"), cleaned.alias("msg_clean"), F.col("author").alias("author_name"), "author_date",
-        text.is_generic_merge(F.col("message"), cleaned).alias("is_merge"), "best", "n_files", "relevant", "only_vendor", "touches_vendor",
+    # A generated column is computed once; as an alias it would be repeated in every filter and column that uses it.
+    cleaned = F.inline(F.array(F.struct(text.clean_message_semantic(F.col("message")).alias("msg_clean"))))
+    return out.select("*", cleaned).select(
+        F.col("repo").alias("repo_name"), "commit_hash", F.col("message").alias("msg_original"), "msg_clean", F.col("author").alias("author_name"), "author_date",
+        text.is_generic_merge(F.col("message"), F.col("msg_clean")).alias("is_merge"), "best", "n_files", "relevant", "only_vendor", "touches_vendor",
     )
 
 

@@ -169,26 +169,28 @@ _FORMAT = "--format=%x01%x1e%x01%H%x00%an%x00%cI%x00%B%x02"
 
 
 def _git(path: str, *args: str) -> str:
-    return subprocess.run(["git", "-c", "safe.directory=*", "-C", path, *args], capture_output=True, check=True, stdin=subprocess.DEVNULL).stdout.decode("utf-8", errors="ignore")
+    return subprocess.run(["git", "-c", "safe.directory=*", "-c", "core.quotePath=false", "-C", path, *args], capture_output=True, check=True, stdin=subprocess.DEVNULL).stdout.decode("utf-8", errors="ignore")
 
 
-def _entries(path: str, args: list[str]) -> Iterator[str]:
+def _entries(path: str, args: list[str], chunk: int = 1 << 20) -> Iterator[str]:
     """Entries of a log as git writes them, one in memory at a time; CalledProcessError at the end if git failed, without the unfinished entry."""
-    cmd = ["git", "-c", "safe.directory=*", "-c", "log.showRoot=true", "-C", path, "log", "--no-color", *args]
+    cmd = ["git", "-c", "safe.directory=*", "-c", "core.quotePath=false", "-c", "log.showRoot=true", "-C", path, "log", "--no-color", *args]
     with subprocess.Popen(cmd, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL) as git:
-        parts: list[str] = []
         decode = codecs.getincrementaldecoder("utf-8")(errors="ignore").decode
-        while chunk := git.stdout.read(1 << 20):
-            *done, rest = (parts.pop() + decode(chunk) if parts and len(parts[-1]) < 8 else decode(chunk)).split(_ENTRY)
+        parts: list[str] = []
+        tail = ""  # may be the start of a separator
+        while data := git.stdout.read(chunk):
+            *done, rest = (tail + decode(data)).split(_ENTRY)
             for piece in done:
-                parts.append(piece)
-                if entry := "".join(parts):
+                if entry := "".join([*parts, piece]):
                     yield entry
                 parts = []
-            parts += [rest[:-8], rest[-8:]] if len(rest) > 8 else [rest]
+            keep = len(_ENTRY) - 1
+            parts.append(rest[:-keep])
+            tail = rest[-keep:]
         if git.wait():
             raise subprocess.CalledProcessError(git.returncode, cmd)
-        if entry := "".join(parts):
+        if entry := "".join([*parts, tail]):
             yield entry
 
 

@@ -80,14 +80,17 @@ def test_git_log_slices_and_damaged_clones(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=A", "-c", "user.email=a@b", *a], check=True, capture_output=True, text=True).stdout.strip()
     run("init", "-q")
     for i in range(7):
-        (repo / "main.tf").write_text(f"a = {i}\n" + "é" * 300_000 + "\n")
-        (repo / f"f{i}.tf").write_text(f"b = {i}\n")
+        (repo / "main.tf").write_text(f"a = {i}\n" + "é" * 30_000 + "\n")
+        (repo / ("é5.tf" if i == 5 else f"f{i}.tf")).write_text(f"b = {i}\n")
         run("add", "."), run("commit", "-qm", f"step {i}")
     connectors.register(spark)
     read = lambda **o: spark.read.format("git_log").options(repos=str(repo), suffix=".tf", **o).load().collect()
     whole, sliced = read(), read(slice="2")
     assert sorted(map(tuple, whole)) == sorted(map(tuple, sliced)) and len(whole) == 14 and {r.patch_kind for r in whole} == {"diff"}
+    assert "é5.tf" in {r.file for r in whole}
     heads = {r.message: r.commit_hash for r in whole}
+    entries = [list(connectors._entries(str(repo), [connectors._FORMAT, "-p", "HEAD"], chunk)) for chunk in (1 << 20, 4099, 7)]
+    assert len(entries[0]) == 7 and entries[0] == entries[1] == entries[2]
     since = json.dumps({"c1": heads["step 4"]})
     assert {r.message for r in read(since=since)} == {"step 5", "step 6"} and len(read(since=json.dumps({"c1": "f" * 40}))) == 14
     points = connectors.resume_points(spark.createDataFrame(whole).drop("patch_kind"))
